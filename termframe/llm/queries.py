@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their SQL."""
 
+from termframe.llm.decontamination import op8_decontamination
 from termframe.llm.language_id import op5_language_id
 from termframe.llm.line_dedup import SQL as LINE_SQL
 from termframe.llm.line_dedup import op1_line_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
 }
 ORACLE_SQL = {"op1_line_dedup": LINE_SQL}
