@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b" \t\n\x0b\x0c\r"
 
 #: Text bytes that one numpy step works on, so that memory doesn't follow the Arrow batch.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, and a lost
     executor costs only what it was working on."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for a table goes once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,7 +102,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the hash's base and of its inverse modulo 2**64, for 0 to n - 1."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * CHUNK_BYTES)
+        n = max(1 << 16, 1 << (n - 1).bit_length())
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             x = np.full(n, base, np.uint64)
             x[0] = 1

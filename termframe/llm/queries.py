@@ -8,11 +8,13 @@ from termframe.llm.minhash_dedup import op6_minhash_dedup
 from termframe.llm.pii import op2_pii
 from termframe.llm.quality import op7_quality
 from termframe.llm.sentencepiece_codec import op4_sentencepiece
+from termframe.llm.suffix_dedup import op3_suffix_dedup
 from termframe.llm.token_files import op9_token_files
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
