@@ -36,14 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from termframe.llm.common import pieces, read, shared_dir, table, text_bytes
+from termframe.llm.common import mix, pieces, powers, read, shared_dir, table, text_bytes
 
 #: Fixed values of the public zstandard formats: skippable frames, seek table's frame, its end, its descriptor with checksums.
 IDS_MAGIC, SEEK_MAGIC, END_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NULL_ID = -(2**63)
-LEVEL = 3
-#: Chunks of text that a worker remembers.
-REMEMBERED = 400_000
+LEVEL = 1
+#: Chunks of text that a worker remembers, and how many of them wait to be sorted in.
+REMEMBERED, RECENT = 1_500_000, 50_000
+_RANDOM = np.random.default_rng(9).integers(0, 2**64, 256, dtype=np.uint64)
 #: Kinds of bytes: white space to the tokenizer as well, letters, digits, signs; what may belong to either side.
 WHITE, LETTER, DIGIT, SIGN, BOUND = range(5)
 _KIND = np.full(256, SIGN, np.uint8)
@@ -59,7 +60,10 @@ class ChunkTokenizer:
     """The ids of texts, from the ids of their chunks. A chunk never ends within a token: it ends at white
     space, next to a digit, or where ASCII letters meet ASCII signs; apostrophes and bytes above 127 are
     bound to what is next to them. Letters are lower-cased early, but not before a byte above 127, which
-    may be a combining mark. Texts with a special token's string go to the library whole."""
+    may be a combining mark. Texts with a special token's string go to the library whole.
+
+    Chunks are known by 64-bit hashes, in two sorted arrays (a large one, and a small one for the latest)
+    with the places of their ids: some 25 bytes a chunk."""
 
     def __init__(self, definition: str):
         self.library = Tokenizer.from_str(definition)
@@ -67,23 +71,57 @@ class ChunkTokenizer:
         self.ending = np.zeros(self.library.get_vocab_size(), bool)
         for word, i in self.library.get_vocab().items():
             self.ending[i] = word.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain = [x for x in chunks if x.isalpha()]  # of bytes: ASCII letters only, one token's word each
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.hashes, self.places = [np.zeros(0, np.uint64)] * 2, [none, none]
+        self.first, self.sizes, self.ids = none, none, np.zeros(0, np.uint32)
+
+    def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Many chunks that are a word each go in one text; the ids that end a word tell them apart."""
+        texts = [x.decode() for x in chunks]
+        found: list = [None] * len(texts)
+        plain = [i for i, x in enumerate(texts) if x.isalpha() and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x)]
         for low in range(0, len(plain), 1000):
             some = plain[low : low + 1000]
-            ids = np.array(self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = (4 * (np.flatnonzero(self.ending[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            if len(ends) != len(some) or ends[-1] != len(raw):
-                raise ValueError("the tokenizer doesn't mark the ends of words")
-            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        other = [x for x in chunks if not x.isalpha()]
+            ids = np.array(self.library.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                for i, a, b in zip(some, [0, *ends], ends):
+                    found[i] = ids[a:b]
+        other = [i for i, x in enumerate(found) if x is None]
         for low in range(0, len(other), 1000):
             some = other[low : low + 1000]
-            for chunk, found in zip(some, self.library.encode_batch([x.decode() for x in some], add_special_tokens=False)):
-                self.known[chunk] = np.array(found.ids, np.uint32).tobytes()
+            for i, x in zip(some, self.library.encode_batch([texts[i] for i in some], add_special_tokens=False)):
+                found[i] = np.array(x.ids, np.uint32)
+        return found
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        found = self._encode(chunks)
+        sizes = np.array([len(x) for x in found], np.int64)
+        places = len(self.sizes) + np.arange(len(sizes))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate([self.ids, *found])
+        level = 0 if len(self.hashes[1]) > RECENT else 1
+        some = (self.hashes[0], self.hashes[1], hashes) if level == 0 else (self.hashes[1], hashes)
+        at = (self.places[0], self.places[1], places) if level == 0 else (self.places[1], places)
+        every, every_at = np.concatenate(some), np.concatenate(at)
+        order = np.argsort(every)
+        self.hashes[level], self.places[level] = every[order], every_at[order]
+        if level == 0:
+            self.hashes[1], self.places[1] = self.hashes[1][:0], self.places[1][:0]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, places in zip(self.hashes, self.places):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = places[at[hit]]
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, joined, and the n + 1 offsets of the texts."""
@@ -94,28 +132,34 @@ class ChunkTokenizer:
             return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         kind = _KIND[data]
         inside = kind != WHITE
-        cut = np.ones(len(data), bool)  # whether a chunk can start here
-        cut[1:] = ~inside[:-1] | ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) & (kind[1:] != BOUND) & (kind[:-1] != BOUND)
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(cut & inside)
-        high = np.zeros(len(data), bool)
-        high[:-1] = data[1:] > 127
-        lower = np.where(high, data, _LOWER[data])[inside]
-        at = np.concatenate((np.cumsum(inside) - inside, [len(lower)])).astype(np.int64)
-        edges = np.concatenate((at[starts], [len(lower)])).astype(np.int64)
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(lower)]).dictionary_encode()
-        words = chunks.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn([x for x in words if x not in self.known])
-        parts = [self.known[x] for x in words]
-        sizes = np.array([len(x) // 4 for x in parts], np.int64)
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        first = np.cumsum(sizes) - sizes
-        code = chunks.indices.to_numpy()
-        n = sizes[code]
+        cut = np.ones(len(data) + 1, bool)  # whether a chunk can start here, or end before
+        cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) & (kind[1:] != BOUND) & (kind[:-1] != BOUND) | ~inside[1:] | ~inside[:-1]
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        full = inside[starts] if len(starts) else np.zeros(0, bool)
+        starts, ends = starts[full], ends[full]
+        lower = _LOWER[data]
+        high = np.flatnonzero(data[1:] > 127)
+        lower[high] = data[high]
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_RANDOM[lower] * up[: len(data)], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        codes = pa.array(hashes).dictionary_encode()
+        code, own = codes.indices.to_numpy(), codes.dictionary.to_numpy()
+        if len(self.sizes) > REMEMBERED:
+            self.clear()
+        place = self._find(own)
+        if len(new := np.flatnonzero(place < 0)):
+            at = np.empty(len(own), np.int64)
+            at[code[::-1]] = np.arange(len(code))[::-1]
+            raw = lower.tobytes()
+            place[new] = len(self.sizes) + np.arange(len(new))
+            self._learn(own[new], [raw[starts[i] : ends[i]] for i in at[new].tolist()])
+        n = self.sizes[place][code]
         total = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(first[code] - total[:-1], n) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(self.first[place][code] - total[:-1], n) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offsets)]
 
 
