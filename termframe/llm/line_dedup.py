@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from termframe.llm.common import SPACES, mix, pieces, read, table
 
-#: Keys in one shard of the index, on average: about 2 MB of arrays.
-SHARD_KEYS = 50_000
-#: Probes that one copy of a shard serves.
-PROBES = 200_000
+#: Keys in one shard of the index, on average: about 100 KB of arrays.
+SHARD_KEYS = 4_000
+#: Probes that one copy of a shard serves, on average.
+PROBES = 10_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -170,8 +170,9 @@ def _runs(kinds: np.ndarray) -> list[tuple[int, int]]:
 
 def probe_lines(keys: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """(doc_id, h, f) of all lines that a document loses."""
-    parts = index.select((F.col("n_probes") / PROBES).cast("int").alias("x")).agg(F.max("x")).first()[0] or 0
-    salts = parts + 1  # of every shard; a shard's copies are dealt out with its probes
+    # a shard has its part of all keys, and those of its own lines if they are hot
+    hot = index.agg(F.max("n_probes")).first()[0] or 0
+    salts = 1 + (keys.count() // shards + hot) // PROBES
     blobs = index.drop("n_probes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("kind", F.lit(0))
     probes = keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("kind", F.lit(1))
     both = blobs.unionByName(probes, allowMissingColumns=True)
