@@ -142,7 +142,7 @@ class Codec:
         normal, align = self.normalise(text.encode())
         inner = np.array(ids[1:-1], np.int64)
         if self.unknown in ids[1:-1]:  # its length isn't known from the id; the library's own alignment has it
-            proto = self.library.encode(text, out_type="immutable_proto")
+            proto = self.library.encode(text, return_type="proto")
             lengths = np.array([len(p.piece.encode()) for p in proto.pieces], np.int64)
         else:
             lengths = self.length[inner]
