@@ -107,23 +107,23 @@ _SPANS = "array<struct<s:int,e:int,v:string,b:string>>"
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds _base (an array of spans a kind) and _proposed (spans with their kind k) to ``docs``. A text
+    """Adds _pii_base (an array of spans a kind) and _pii_proposed (spans with their kind k) to ``docs``. A text
     without @ or digits isn't searched for what needs them."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast(_SPANS)
-    docs = docs.withColumn("_regions", F.when(text.rlike("[0-9]"), located(text, REGION)).otherwise(none))
-    docs = docs.withColumn("_mails", F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(none))
-    regions = F.col("_regions")
+    docs = docs.withColumn("_pii_regions", F.when(text.rlike("[0-9]"), located(text, REGION)).otherwise(none))
+    docs = docs.withColumn("_pii_mails", F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(none))
+    regions = F.col("_pii_regions")
     valid_of = lambda kind: lambda x: valid(kind, x["v"])
-    base = [F.col("_mails"), *(F.filter(_within(regions, p), valid_of(k)) for k, p in ((1, IP), (2, CARD), (3, PHONE)))]
+    base = [F.col("_pii_mails"), *(F.filter(_within(regions, p), valid_of(k)) for k, p in ((1, IP), (2, CARD), (3, PHONE)))]
     of_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["b"].alias("b"))
     proposed = []
     for kind, pattern, whole in PROPOSALS:
         hint = "@" if pattern.count("@") > 2 else "(?i)[\\[(]at[\\])]"
         found = F.when(text.rlike(hint), located(text, pattern)).otherwise(none) if whole else _within(regions, pattern)
         proposed.append(F.transform(found, of_kind(kind)))
-    docs = docs.withColumn("_base", F.array(*[F.coalesce(x, none) for x in base])).withColumn("_proposed", F.concat(*proposed))
-    return docs.drop("_regions", "_mails")
+    docs = docs.withColumn("_pii_base", F.array(*[F.coalesce(x, none) for x in base])).withColumn("_pii_proposed", F.concat(*proposed))
+    return docs.drop("_pii_regions", "_pii_mails")
 
 
 def features(x: Column) -> dict[str, Column]:
@@ -202,7 +202,7 @@ class Trees:
 
 def train(docs: DataFrame) -> Trees:
     """From all documents (doc_id, text)."""
-    rows = with_candidates(docs.select("doc_id", "text")).select("doc_id", F.explode("_proposed").alias("x"))
+    rows = with_candidates(docs.select("doc_id", "text")).select("doc_id", F.explode("_pii_proposed").alias("x"))
     x = F.col("x")
     label = F.lit(False)
     for k in range(len(KINDS)):
@@ -223,7 +223,7 @@ def train(docs: DataFrame) -> Trees:
 
 
 def spans(docs: DataFrame, model: Trees) -> DataFrame:
-    """Adds base (array of arrays by kind) and added (array of k, s, e, v, b, in order) to ``docs``."""
+    """Adds _pii_base (array of arrays by kind) and _pii_added (array of k, s, e, v, b, in order) to ``docs``."""
     docs = with_candidates(docs)
 
     def wanted(x: Column) -> Column:
@@ -231,11 +231,11 @@ def spans(docs: DataFrame, model: Trees) -> DataFrame:
         score = model.expression({"kind": x["k"]} | features(x))
         for k, least in model.thresholds.items():
             ok = ok | ((x["k"] == k) & (score >= least))
-        free = ~F.exists(F.flatten(F.col("_base")), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        free = ~F.exists(F.flatten(F.col("_pii_base")), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
         return free & ok
 
-    added = F.filter("_proposed", wanted) if model.thresholds else F.filter("_proposed", lambda x: F.lit(False))
-    return docs.withColumn("added", F.array_distinct(F.array_sort(added))).withColumnRenamed("_base", "base").drop("_proposed")
+    added = F.filter("_pii_proposed", wanted) if model.thresholds else F.filter("_pii_proposed", lambda x: F.lit(False))
+    return docs.withColumn("_pii_added", F.array_distinct(F.array_sort(added))).drop("_pii_proposed")
 
 
 def _listed(k: int, found: Column) -> Column:
@@ -248,9 +248,9 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
     names = docs.columns
     out = spans(docs, model)
     named = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS[k]).alias("k"))
-    marked = [F.transform(F.col("base")[k], named(k)) for k in range(len(KINDS))]
+    marked = [F.transform(F.col("_pii_base")[k], named(k)) for k in range(len(KINDS))]
     kinds = F.array(*map(F.lit, KINDS))
-    marked.append(F.transform("added", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(kinds, x["k"]).alias("k"))))
+    marked.append(F.transform("_pii_added", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(kinds, x["k"]).alias("k"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(sofar: Column, x: Column) -> Column:
@@ -264,16 +264,16 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
 def span_digests(docs: DataFrame, model: Trees) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     out = spans(docs.select("doc_id", "text"), model)
-    base = [F.col("base")[k] for k in range(len(KINDS))]
+    base = [F.col("_pii_base")[k] for k in range(len(KINDS))]
     is_kind = lambda k: lambda x: x["k"] == k
     every = []
     for k in range(len(KINDS)):
         own = F.transform(base[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-        new = F.transform(F.filter("added", is_kind(k)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        new = F.transform(F.filter("_pii_added", is_kind(k)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
         every.append(_listed(k, F.array_sort(F.concat(own, new))))
     listed = F.array_join(F.concat(*[_listed(k, base[k]) for k in range(len(KINDS))]), ",")
     counts = [F.size(base[k]).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(KINDS))]
-    return out.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return out.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"), F.size("_pii_added").cast("long").alias("n_added"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
