@@ -43,8 +43,8 @@ from termframe.llm.common import as_long, mix, pieces, read, table, text_bytes
 
 LENGTH, GRAM = 400, 200
 WINDOW = LENGTH - GRAM + 1
-#: Contexts of a gram that are sorted in one task.
-STRETCH = 1000
+#: Contexts of a gram that are sorted in one task: about 20 MB of text.
+STRETCH = 4000
 STEP = 48
 LEVELS = range(0, WINDOW, STEP)
 _BYTE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
@@ -131,18 +131,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({name: pa.array(v, kind) for (name, v), kind in zip(rows.items(), kinds)})
 
 
-def common_prefixes(texts: list[bytes]) -> np.ndarray:
-    """Length of the longest common prefix of each text and the one before it (0 for the first)."""
-    out = np.zeros(len(texts), np.int64)
-    width = max(map(len, texts))
-    for low in range(0, len(texts), 2048):
-        some = texts[max(0, low - 1) : low + 2048]
-        grid = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in some), np.uint8).reshape(len(some), width)
-        size = np.array([len(x) for x in some])
-        differ = np.concatenate((grid[1:] != grid[:-1], np.ones((len(some) - 1, 1), bool)), axis=1)
-        found = np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
-        out[max(1, low) : max(1, low) + len(found)] = found
-    return out
+def agree(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
 def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -157,20 +149,49 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(before: list[bytes], after: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
-    """(L, R, members) of anchors whose texts agree on L bytes before and R bytes after, L + R >= least, for
-    each group that a further byte on either side would make smaller. ``after`` must be sorted; ``before`` is
-    given from the anchor outwards (reversed)."""
-    rank = sorted(range(len(before)), key=before.__getitem__)
-    for depth, first, end in intervals(common_prefixes(after).tolist()):
-        if depth + max(map(len, before[first:end])) < least:
-            continue
-        members = [i for i in rank if first <= i < end] if end - first > len(rank) // 8 else sorted(range(first, end), key=before.__getitem__)
-        for shared, a, b in intervals(common_prefixes([before[i] for i in members]).tolist()):
-            if shared + depth >= least:
-                yield shared, depth, members[a:b]
-        if depth >= least and len({before[i][:1] for i in members}) > 1:  # not extended to the left by all
-            yield 0, depth, members
+class Stretch:
+    """The enhanced suffix array of anchors: ``after`` sorted texts from the anchors on, ``before`` the texts before
+    them, from the anchor outwards. Both have the common prefixes of neighbours in their own order."""
+
+    def __init__(self, before: list[bytes], after: list[bytes]):
+        self.n = len(before)
+        self.prefixes = [0, *map(agree, after, after[1:])]
+        self.order = np.array(sorted(range(self.n), key=before.__getitem__))
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[self.order] = np.arange(self.n)
+        self.left = np.array([0, *(agree(before[i], before[j]) for i, j in zip(self.order, self.order[1:]))])
+
+    def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each common-prefix interval, inner ones first: its depth, its members in the order of the texts
+        before them, and how many bytes neighbours in that order agree on: a least over the whole order's."""
+        for depth, first, end in intervals(self.prefixes):
+            ranks = np.sort(self.rank[first:end])
+            yield depth, self.order[ranks], np.minimum.reduceat(self.left[: ranks[-1] + 1], ranks[:-1] + 1)
+
+    def maximal_repeats(self, least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+        """(L, R, members): all anchors that agree on L bytes before and R bytes after, L + R >= least, for each
+        group that a further byte on either side would make smaller."""
+        for depth, members, left in self.nodes():
+            if depth + left.max() >= least:
+                for shared, a, b in intervals([0, *left.tolist()]):
+                    group = members[a:b]
+                    if shared + depth >= least and min(self.prefixes[group.min() + 1 : group.max() + 1]) == depth:
+                        yield shared, depth, group.tolist()  # no byte after extends all of them, either
+            if depth >= least and not left.all():  # some differ in the byte before: no byte extends all to the left
+                yield 0, depth, members.tolist()
+
+    def reaches(self, least: int = LENGTH) -> list[list[tuple[int, int]]]:
+        """For each anchor the (L, R) of the maximal repeats it is in that are not within another of its own. In an
+        interval that is its smallest group's L, which it shares with a neighbour."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
+        most = np.full(self.n, -1)
+        for depth, members, left in self.nodes():
+            longest = np.maximum(np.append(left, 0), np.insert(left, 0, 0))
+            new = (longest + depth >= least) & (longest > most[members])
+            for i, n in zip(members[new].tolist(), longest[new].tolist()):
+                out[i].append((n, depth))
+                most[i] = n
+        return out
 
 
 _SPAN = "doc_id long, k long, low int, high int"
@@ -199,15 +220,11 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _stretch(rows: list[tuple]) -> list[tuple]:
     rows = sorted(rows, key=lambda r: r[6][r[5] :])  # the suffix array of this gram's anchors
-    reach: list[list[tuple[int, int]]] = [[] for _ in rows]
+    found = Stretch([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows]).reaches()
     out = []
-    for before, after, members in maximal_repeats([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows]):
-        for i in members:
-            if rows[i][1]:  # a context that stands twice is covered as a whole already
-                reach[i].append((before, after))
-    for r, found in zip(rows, reach):
-        spans = sorted({(r[4] - b, r[4] + a) for b, a in found})
-        out += [(r[2], r[3], low, high) for low, high in _united(spans)]
+    for (_, once, doc_id, k, pos, _, _), reach in zip(rows, found):
+        if once:  # a context that stands twice is covered as a whole already
+            out += [(doc_id, k, low, high) for low, high in _united(sorted((pos - b, pos + a) for b, a in reach))]
     return out
 
 
