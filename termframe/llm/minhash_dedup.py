@@ -14,8 +14,11 @@ over a set's x. ROWS coordinates make a band.
    its pairs with all others are verified on full sets (a join, a leader's members dealt out with copies of
    the leader's set, so that no task gathers a bucket), and components of the links are found.
 3. A bucket whose classes are all in one component needs nothing more: the copies and variants of a
-   text are not paired with one another. Only in buckets with several components 8, then 64, ... classes
-   lead, until each pair of a bucket is verified or within a component. So no link of a bucket is lost.
+   text are not paired with one another. Only in buckets with several components the strays meet more of
+   the others, eight times as many in each round, until each pair of a bucket is verified or within a
+   component. So no link of a bucket is lost. Before that, shingles that one class alone has are counted:
+   a class of which over 100 - ``percent`` in 100 are its own is linked with none, and two classes
+   that share too little with any others are not paired.
 
 LSH sees a pair in at least one of BANDS bands with probability 1 - (1 - J ** ROWS) ** BANDS: for J = 0.85
 all but 1e-8, for J = 0.8 all but 3e-6.
@@ -157,9 +160,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Each b brings its set once a leader; a leader's
     set is copied for every BESIDE of its members."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
-    spread = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    members = spread.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "part", "b", "members")
-    leaders = parts.join(sets.withColumnRenamed("rep", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = pairs.join(parts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    members = spread.join(sets.withColumnRenamed("rep", "b").hint("merge"), "b").select("a", "part", "b", "members")
+    leaders = parts.join(sets.withColumnRenamed("rep", "a").hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = leaders.select("a", "part", F.lit(None).cast("long").alias("b"), "members").unionByName(members)
     both = both.withColumn("key", F.xxhash64("a", "part")).repartition("key").sortWithinPartitions("key", "a", "part", F.col("b").asc_nulls_first())
     return both.select("a", "b", "members").mapInArrow(_verify(percent), "a long, b long")
@@ -171,10 +174,10 @@ def components(links: DataFrame) -> DataFrame:
     links = table(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")))
     labels = table(links.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "v"))
     while True:
-        near = links.join(labels, links.y == labels.v).groupBy("x").agg(F.min("label").alias("least"))
-        moved = labels.join(near, labels.v == near.x, "left").select("v", "label", F.least("label", "least").alias("to"))
+        near = links.join(labels.hint("merge"), links.y == labels.v).groupBy("x").agg(F.min("label").alias("least"))
+        moved = labels.join(near.hint("merge"), labels.v == near.x, "left").select("v", "label", F.least("label", "least").alias("to"))
         jump = labels.select(F.col("v").alias("to"), F.col("label").alias("further"))
-        after = table(moved.join(jump, "to", "left").select("v", F.least("to", "further").alias("to"), "label"))
+        after = table(moved.join(jump.hint("merge"), "to", "left").select("v", F.least("to", "further").alias("to"), "label"))
         changed = after.where(F.col("to") != F.col("label")).limit(1).count()
         labels = after.select("v", F.col("to").alias("label"))
         if not changed:
@@ -188,37 +191,63 @@ def _rank(column: Column) -> Column:
 
 def link_classes(classes: DataFrame, sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """(v, label) of the linked classes. ``buckets`` (key, rep, n, u, size): a row for each class in a bucket,
-    u its rank and size the bucket's."""
-    spark = classes.sparkSession
-    labels = links = tested = None
-    lead, before = 1, 0
+    u its rank and size the bucket's. In the first round each bucket's least rank is paired with all others.
+    Later only strays, the classes outside that one's component, are paired: with the classes whose rank
+    is within the next ``lead`` places or so, until every stray has met every class of its bucket or both
+    are in one component. A round thus makes no more than ``lead`` pairs a stray, and a pair is made in
+    the first bucket that both are in."""
+    order = buckets.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("first"))
+    met = buckets.join(order.hint("merge"), "key").where(F.col("rep") != F.col("first.rep"))
+    met = met.where(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
+    links = table(verified(table(_ordered(met.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))), sets, percent))
+    labels = components(links)
+    before, lead = 0, 8
     while True:
-        now = buckets.withColumn("label", F.col("rep"))
-        if labels is not None:
-            now = buckets.join(labels, buckets.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep")).drop("v")
-        if before:  # classes that have led meet no more partners; buckets of one component are done
-            now = now.where(F.col("u") >= F.lit(float(before)) / F.col("size"))
-        open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("u", "rep", "n", "label")).alias("first"))
-        open_ = open_.where("low <> high")
-        if before:
-            now = table(now.join(open_.select("key"), "key", "left_semi"))
-            if not now.limit(1).count():
-                break
-            leaders = now.where(F.col("u") < F.lit(float(lead)) / F.col("size")).select("key", F.struct("u", "rep", "n", "label").alias("first"))
-        else:
-            leaders = open_.select("key", "first")
-        met = now.join(leaders, "key").where((F.struct("u", "rep") > F.struct("first.u", "first.rep")) & (F.col("label") != F.col("first.label")))
-        met = met.where(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
-        pairs = met.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = table(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        now = buckets.join(labels.hint("merge"), buckets.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep")).drop("v")
+        open_ = now.groupBy("key").agg(F.min(F.struct("u", "rep", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        now = table(now.where(F.col("size") > before).join(open_.select("key", F.col("first.rep").alias("leader"), F.col("first.label").alias("home")).hint("merge"), "key"))
+        if not now.limit(1).count():
+            return labels
+        if not before:
+            shared = shared_sizes(sets.join(now.select("rep").distinct().hint("merge"), "rep", "left_semi"))
+            now = now.join(shared.hint("merge"), "rep").where(F.col("shared") * 100 >= F.col("n") * percent)
+            now = table(now.join(classes.select("rep", "bands").groupBy("rep").agg(F.first("bands").alias("bands")).hint("merge"), "rep"))
+            buckets = now.drop("label", "home", "leader")
+        window = (F.col("u") * F.col("size") >= before) & ((F.col("u") * F.col("size") < lead) | (F.lit(lead) >= F.col("size")))
+        strays = now.where("label <> home AND rep <> leader").select("key", F.struct("rep", "n", "u", "shared", "label", "bands").alias("s"))
+        others = now.where(window & (F.col("rep") != F.col("leader"))).select("key", (F.col("label") != F.col("home")).alias("stray"), F.struct("rep", "n", "u", "shared", "label", "bands").alias("o"))
+        both = F.least("s.shared", "o.shared")  # of what the two can have in common
+        fits = (F.col("s.label") != F.col("o.label")) & (both * 100 >= (F.col("s.n") + F.col("o.n") - both) * percent)
+        fits = fits & (~F.col("stray") | (F.struct("o.u", "o.rep") < F.struct("s.u", "s.rep"))) & (F.array_min(F.array_intersect("s.bands", "o.bands")) == F.col("key"))
+        pairs = table(_ordered(strays.join(others.hint("merge"), "key").where(fits).select(F.col("s.rep").alias("a"), F.col("o.rep").alias("b"))))
         new = table(verified(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        before, lead = (lead if before else 0.5), lead * 8
-    return labels if labels is not None else spark.createDataFrame([], "v long, label long")
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            labels = components(links)
+        before, lead = lead, lead * 8
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            some = batch.slice(a, 64)
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column("members")]
+            rep = np.repeat(some.column("rep").to_numpy(), [len(x) for x in parts])
+            yield pa.RecordBatch.from_pydict({"rep": rep, "shingle": np.concatenate(parts)})
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(rep, shared): how many of a class's shingles another class of ``sets`` has as well. No other class
+    can have more in common with it, whatever the bands say."""
+    counts = sets.mapInArrow(_exploded, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    own = counts.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    sizes = sets.select("rep", (F.octet_length("members") / 8).cast("long").alias("n")).groupBy("rep").agg(F.max("n").alias("n"))
+    return sizes.join(own.hint("merge"), "rep", "left").select("rep", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs with the smaller class first: neighbours of a text mostly have the same leader."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -230,22 +259,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = table(classes)
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = table(rows.join(sizes, "key").withColumn("u", _rank(F.col("rep"))))
+    buckets = table(rows.join(sizes.hint("merge"), "key").withColumn("u", _rank(F.col("rep"))))
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep long, k1 long, k2 long, members binary")
-    sets = table(texts.join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]).select("rep", "members"))
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, k1 long, k2 long, members binary")
+    sets = table(texts.join(classes.select("rep", "k1", "k2").hint("merge"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]).select("rep", "members"))
     labels = link_classes(classes, sets, buckets, percent)
-    named = classes.join(labels, classes.rep == labels.v, "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = features.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = classes.join(labels.hint("merge"), classes.rep == labels.v, "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+    out = features.select("doc_id", "n_shingles", "k1", "k2").join(named.hint("merge"), ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component holds a smaller doc_id; same columns. Of repeated rows of
-    one doc_id all stay or go; rows without doc_id stay."""
+    """``docs`` without the rows whose component holds a smaller doc_id; same columns. Of rows with one
+    doc_id one stays; rows without doc_id stay."""
     gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
