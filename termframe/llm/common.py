@@ -135,4 +135,7 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. From here on the session's Arrow batches have at most 8 MB: rows here can be long, and a
+    batch is held by the executor and by its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
