@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from termframe.llm.common import mix, pieces, read, span_hashes, text_bytes, word_spans
 
 #: Labelled rows that are fitted at most (about that many, chosen by a hash of doc_id), and the model's shape.
-SAMPLE, TERMS, RANK, NEAREST, POWER = 4000, 4096, 48, 25, 8
+SAMPLE, TERMS, RANK, NEAREST, POWER = 3000, 2048, 48, 25, 8
 #: Predicted as 1 from this score.
 THRESHOLD = 0.3
 
@@ -90,9 +90,10 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray) -> Model:
-        """By randomised subspace iteration with a fixed seed."""
+        """By randomised subspace iteration with a fixed seed; ``x`` is weighted in place."""
         idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
-        x = _unit(x * idf)
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         rank = min(RANK, *x.shape)
         q = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
         for _ in range(6):
@@ -139,8 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     if not len(order):
         return Model(*[np.zeros(0, np.float32)] * 4)
-    x = np.stack([np.frombuffer(b.as_buffer(), np.float32) for b in rows.column("x")])
-    return Model.fit(x[order], rows.column("quality").to_numpy()[order])
+    x = np.empty((len(order), TERMS), np.float32)
+    found = rows.column("x")
+    for i, j in enumerate(order.tolist()):
+        x[i] = np.frombuffer(found[j].as_buffer(), np.float32)
+    return Model.fit(x, rows.column("quality").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
