@@ -44,7 +44,7 @@ from termframe.llm.common import as_long, mix, pieces, read, table, text_bytes
 LENGTH, GRAM = 400, 200
 WINDOW = LENGTH - GRAM + 1
 #: Contexts of a gram that are sorted in one task: about 20 MB of text.
-STRETCH = 4000
+STRETCH = 32_768
 STEP = 48
 LEVELS = range(0, WINDOW, STEP)
 _BYTE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
