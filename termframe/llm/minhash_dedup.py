@@ -45,6 +45,8 @@ WORDS, ROWS, BANDS = 5, 5, 32
 SHIFT = 0x9E3779B1
 #: Members that are verified beside one copy of their leader's set.
 BESIDE = 256
+#: Links whose components one task finds; a size that is checked.
+ONE_TASK = 500_000
 _WEIGHTS = np.random.default_rng(5).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -168,9 +170,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "members").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of a graph that one task holds."""
+    found = list(batches)
+    ends = [np.concatenate([b.column(c).to_numpy() for b in found] or [np.zeros(0, np.int64)]) for c in ("a", "b")]
+    vertices, index = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = np.split(index, 2)
+    label = np.arange(len(vertices))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_pydict({"v": vertices.astype(np.int64), "label": vertices[label].astype(np.int64)})
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, label) of all vertices of ``links`` (a, b): label is the least vertex that v reaches. Labels
-    take the least label of their neighbours and then the label of their label, until none changes."""
+    """(v, label) of all vertices of ``links`` (a, b): label is the least vertex that v reaches. Up to
+    ONE_TASK links (8 MB) are one task's work. More are labelled by joins: labels take the least label of their
+    neighbours and then the label of their label, until none changes."""
+    if links.count() <= ONE_TASK:
+        return table(links.select("a", "b").coalesce(1).mapInArrow(_small_components, "v long, label long"))
     links = table(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")))
     labels = table(links.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "v"))
     while True:
