@@ -213,32 +213,40 @@ def _rank(column: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("rank")), F.lit(2**40)) / F.lit(2.0**40)
 
 
+def _opened(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the buckets whose classes are in several components, each with its component (label), the
+    bucket's least rank (first) and that one's component (home)."""
+    now = buckets.join(labels.hint("merge"), buckets.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep")).drop("v")
+    open_ = now.groupBy("key").agg(F.min(F.struct("u", "rep", "label")).alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return now.join(open_.select("key", F.col("least.rep").alias("first"), F.col("least.label").alias("home")).hint("merge"), "key")
+
+
 def link_classes(classes: DataFrame, sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """(v, label) of the linked classes. ``buckets`` (key, rep, n, u, size): a row for each class in a bucket,
-    u its rank and size the bucket's. In the first round each bucket's least rank is paired with all others.
-    Later only strays, the classes outside that one's component, are paired: with the classes whose rank
-    is within the next ``lead`` places or so, until every stray has met every class of its bucket or both
-    are in one component. A round thus makes no more than ``lead`` pairs a stray, and a pair is made in
+    u its rank and size the bucket's. First each bucket's least rank, its leader, is paired with all others.
+    Later only strays are paired, the classes outside the component of the least rank that the bound by shared
+    shingles left (the leader itself or, where it is gone, one that has met nobody yet): with the classes
+    whose rank is within the next ``lead`` places or so, until every stray has met every class of its bucket
+    or both are in one component. A round thus makes no more than ``lead`` pairs a stray, and a pair is made in
     the first bucket that both are in."""
     order = buckets.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("first"))
     met = buckets.join(order.hint("merge"), "key").where(F.col("rep") != F.col("first.rep"))
     met = met.where(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
     links = table(verified(table(_ordered(met.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))), sets, percent))
     labels = components(links)
+    now = table(_opened(buckets, labels).drop("label", "home").withColumnRenamed("first", "leader"))
+    if not now.limit(1).count():
+        return labels
+    shared = shared_sizes(sets.join(now.select("rep").distinct().hint("merge"), "rep", "left_semi"))
+    now = now.join(shared.hint("merge"), "rep").where(F.col("shared") * 100 >= F.col("n") * percent)
+    buckets = table(now.join(classes.select("rep", "bands").groupBy("rep").agg(F.first("bands").alias("bands")).hint("merge"), "rep"))
     before, lead = 0, 8
     while True:
-        now = buckets.join(labels.hint("merge"), buckets.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep")).drop("v")
-        open_ = now.groupBy("key").agg(F.min(F.struct("u", "rep", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        now = table(now.where(F.col("size") > before).join(open_.select("key", F.col("first.rep").alias("leader"), F.col("first.label").alias("home")).hint("merge"), "key"))
+        now = table(_opened(buckets.where(F.col("size") > before), labels))
         if not now.limit(1).count():
             return labels
-        if not before:
-            shared = shared_sizes(sets.join(now.select("rep").distinct().hint("merge"), "rep", "left_semi"))
-            now = now.join(shared.hint("merge"), "rep").where(F.col("shared") * 100 >= F.col("n") * percent)
-            now = table(now.join(classes.select("rep", "bands").groupBy("rep").agg(F.first("bands").alias("bands")).hint("merge"), "rep"))
-            buckets = now.drop("label", "home", "leader")
         window = (F.col("u") * F.col("size") >= before) & ((F.col("u") * F.col("size") < lead) | (F.lit(lead) >= F.col("size")))
-        strays = now.where("label <> home AND rep <> leader").select("key", F.struct("rep", "n", "u", "shared", "label", "bands").alias("s"))
+        strays = now.where("label <> home").select("key", F.struct("rep", "n", "u", "shared", "label", "bands").alias("s"))
         others = now.where(window & (F.col("rep") != F.col("leader"))).select("key", (F.col("label") != F.col("home")).alias("stray"), F.struct("rep", "n", "u", "shared", "label", "bands").alias("o"))
         both = F.least("s.shared", "o.shared")  # of what the two can have in common
         fits = (F.col("s.label") != F.col("o.label")) & (both * 100 >= (F.col("s.n") + F.col("o.n") - both) * percent)

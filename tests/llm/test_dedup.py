@@ -145,6 +145,20 @@ def test_strays_meet_everyone(spark):
     assert found == groups
 
 
+def test_strays_of_a_filtered_leader_meet(spark):
+    """Families of 300 documents with common boilerplate and over 15 % own shingles, which are linked with none
+    but lead most buckets; the few near copies in them share nothing but these buckets."""
+    rows = []
+    for family, copies in enumerate((2, 5, 2, 3)):
+        base = [f"b{family}x{i}" for i in range(86)]
+        own = [18] * 300 + [4] * copies
+        rows += [(n, " ".join(base + [f"w{n}x{i}" for i in range(k)])) for n, k in enumerate(own, 1000 * family)]
+    groups = expected_groups(rows, 85)
+    assert len({*groups.values()}) == len(groups) - 8
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, rows), 85).collect()}
+    assert found == groups
+
+
 @pytest.mark.parametrize("one_task", [0, 500_000])
 def test_components(spark, monkeypatch, one_task):
     monkeypatch.setattr(minhash_dedup, "ONE_TASK", one_task)
