@@ -3,8 +3,8 @@
 Texts become bytes: A-Z lower-cased, other ASCII but letters taken as one space, bytes above 127 kept. An
 n-gram is four such bytes. Training counts n-grams by language over a bounded sample; a language holds an
 n-gram if it is, there, at least ``SHARE`` as frequent as in the language where it is most frequent. All
-languages' filters share their hash functions and lie beside each other: slot i is an integer with a bit a
-language, so the AND of an n-gram's slots is the set of its languages.
+languages' filters share their hash functions and lie beside each other: slot i has a bit a language (a byte
+for up to 8, else as many 64-bit words as they need), so the AND of an n-gram's slots is the set of its languages.
 
 A text's n-grams give a count of each set; language l has the sum of the counts of sets with its bit. A
 filter of false-positive rate p says yes for (true + p * (n - true)) of n n-grams, so true is estimated as
@@ -36,7 +36,6 @@ TRAIN_DOCS = 3000
 GRAMS = 60_000
 SHARE, LEAST = 0.1, 3
 SLOTS, HASHES = 1 << 20, 2
-LANGUAGES = 64
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -71,41 +70,43 @@ def _slots(keys: np.ndarray) -> Iterator[np.ndarray]:
 class Model:
     languages: list[str]
     usual: int
-    slots: np.ndarray  # a bit a language
+    slots: np.ndarray  # (SLOTS, words), a bit a language
     rates: np.ndarray  # false positives of each language's filter
 
     @classmethod
     def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], documents: dict[str, int]) -> Model:
-        names = sorted(counts)[:LANGUAGES]
+        names = sorted(counts)
         kind = np.uint8 if len(names) <= 8 else np.uint64
-        slots = np.zeros(SLOTS, kind)
+        width = 8 * kind().itemsize
+        slots = np.zeros((SLOTS, max(1, -(-len(names) // width))), kind)
         keys = np.unique(np.concatenate([k for k, _ in counts.values()])) if names else np.zeros(0, np.uint32)
-        rate = np.zeros((len(names), len(keys)))
+        best = np.zeros(len(keys))
+        for k, n in counts.values():
+            at = np.searchsorted(keys, k)
+            best[at] = np.maximum(best[at], n / max(1, n.sum()))
+        filled = []
         for i, x in enumerate(names):
             k, n = counts[x]
-            rate[i, np.searchsorted(keys, k)] = n / max(1, n.sum())
-        best = rate.max(axis=0) if names else rate
-        filled = []
-        for i in range(len(names)):
-            held = keys[(rate[i] > 0) & (rate[i] >= SHARE * best)]
+            held = k[n / max(1, n.sum()) >= SHARE * best[np.searchsorted(keys, k)]]
+            own, bit = slots[:, i // width], kind(1 << i % width)
             for at in _slots(held):
-                np.bitwise_or.at(slots, at, kind(1 << i))
-            filled.append(np.count_nonzero(slots & kind(1 << i)) / SLOTS)
+                own[at] |= bit
+            filled.append(np.count_nonzero(own & bit) / SLOTS)
         return cls(names, max(range(len(names)), key=lambda i: documents[names[i]], default=0), slots, np.array(filled) ** HASHES)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         n_rows, n_lang = len(texts), len(self.languages)
         keys, row = grams(texts)
-        sets = np.bitwise_and.reduce([self.slots[at] for at in _slots(keys)]) if len(keys) else np.zeros(0, self.slots.dtype)
+        sets = np.bitwise_and.reduce([self.slots[at] for at in _slots(keys)]) if len(keys) else np.zeros((0, self.slots.shape[1]), self.slots.dtype)
         yes = np.zeros((n_rows, n_lang))
         total = np.bincount(row, minlength=n_rows).astype(float)
         if self.slots.itemsize == 1:
-            table = np.bincount(row * 256 + sets, minlength=256 * n_rows).reshape(n_rows, 256)
+            table = np.bincount(row * 256 + sets[:, 0], minlength=256 * n_rows).reshape(n_rows, 256)
             bits = (np.arange(256)[:, None] >> np.arange(n_lang)) & 1
             yes = (table @ bits).astype(float)
         else:
             for i in range(n_lang):
-                yes[:, i] = np.bincount(row, weights=(sets >> np.uint64(i)) & np.uint64(1), minlength=n_rows)
+                yes[:, i] = np.bincount(row, weights=(sets[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=n_rows)
         held = np.maximum(0, (yes - self.rates * total[:, None]) / (1 - self.rates))
         names, scores = [], []
         for i, text in enumerate(texts.to_pylist()):
@@ -133,24 +134,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """From rows (doc_id, text, lang). The languages are counted first (one row each reaches the driver);
     each then gives about ``train_docs`` documents, chosen by a hash, so that a language with a third of
-    all rows costs no more than another. At most GRAMS n-grams a language reach the driver."""
+    all rows costs no more than another. At most GRAMS n-grams a language (16 bytes each) reach the driver."""
     rows = docs.where(F.length("lang") > 0)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    taken: Column = F.lit(0)
-    for name, n in sizes.items():
-        taken = F.when(F.col("lang") == name, int(min(1.0, train_docs / n) * 1_000_000)).otherwise(taken)
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000)) < taken)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    taken = docs.sparkSession.createDataFrame([(x, int(min(1.0, train_docs / n) * 1_000_000)) for x, n in sizes.items()], "lang string, taken int")
+    rows = rows.select("doc_id", "text", "lang").join(F.broadcast(taken), "lang")
+    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000)) < F.col("taken"))
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     top = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("gram"))), asc=False), 1, GRAMS).alias("x"))
-    for r in top.collect():  # bounded by LANGUAGES and GRAMS; a group is bounded by the sample
-        found[r["lang"]] = np.array([x["gram"] for x in r["x"]], np.uint32), np.array([x["n"] for x in r["x"]], np.int64)
+    got = top.toArrow()  # bounded by languages and GRAMS; a group is bounded by the sample
+    for name, x in zip(got.column("lang").to_pylist(), got.column("x")):
+        found[name] = x.values.field("gram").to_numpy().astype(np.uint32), x.values.field("n").to_numpy()
     return Model.of(found, sizes)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score; the model (about a megabyte whatever the
-    input) is broadcast."""
+    """Columns ``keep`` of ``docs`` with lang_pred and score; the model (a megabyte for up to 8 languages,
+    else 8 MB for every 64) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,16 @@ def test_language_edges(spark):
     assert nobody.predict(pa.array(["text"])) == (["und"], [0.0])
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(4)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20)] for i in range(135)}
+    rows = [(n, " ".join(w), x) for n, (x, w) in enumerate([*words.items()] * 4)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    names, scores = model.predict(pa.array([" ".join(w[::-1]) for w in words.values()] + ["", None]))
+    assert names == [*words, "und", "und"] and min(scores[:-2]) > 0.3
+
+
 def test_false_positives_are_corrected():
     keys = np.arange(1, 60_000, dtype=np.uint32)
     model = language_id.Model.of({"a": (keys, np.full(len(keys), 9)), "b": (keys[:100], np.full(100, 9))}, {"a": 1, "b": 1})
