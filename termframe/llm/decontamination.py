@@ -9,9 +9,8 @@ windows that are looked at are those that a part's first words (at most SEED) pu
 CGK embedding: a random walk reads a window; at step t it writes the word it stands on and goes on by a
 random bit of (t, word), for three times the item's words. Walks over two texts with the same bits fall into
 step again after an edit, so edit distance becomes Hamming distance. Each of REPEATS walks keeps SAMPLED
-written words (bit sampling); a window whose sample equals the item's in any repeat is a candidate. With all
-allowed edits in a window some 40 % of the written words agree, so that 128 repeats of 3 miss about 1 in
-1000. The candidates' exact distance (item against all substrings of the window and its margin) decides.
+written words (bit sampling); a window whose sample equals the item's in any repeat is a candidate. Samples can
+fall on the padding behind both texts, so few windows are rejected. The candidates' exact distance (item against all substrings of the window and its margin) decides.
 
 Each task works on its own documents; the items are broadcast in blocks of at most ITEMS, one pass a block.
 
