@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their SQL."""
 
+from termframe.llm.bm25 import SQL as SEARCH_SQL
 from termframe.llm.bm25 import op10_bm25_search
 from termframe.llm.decontamination import op8_decontamination
 from termframe.llm.language_id import op5_language_id
@@ -24,4 +25,4 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_bm25_search": op10_bm25_search,
 }
-ORACLE_SQL = {"op1_line_dedup": LINE_SQL}
+ORACLE_SQL = {"op1_line_dedup": LINE_SQL, "op10_bm25_search": SEARCH_SQL}
