@@ -1,30 +1,36 @@
-"""Exact removal of repeated byte strings by maximal repeats of an enhanced suffix array.
+"""Exact removal of repeated byte strings by the maximal repeats of an enhanced suffix array.
 
 A byte is removed if a string of LENGTH (400) bytes that covers it also starts anywhere else, in any
-document. Matches don't cross documents; strings are judged on the input.
+document. Matches don't cross documents; strings are judged on the input. Shorter repeats, from LEAST (240) bytes,
+come from the same tree and are reported, not removed.
 
 Not all suffixes are sorted, only those at anchors: a position is an anchor if the hash of its GRAM bytes is
-the least of some window of LENGTH - GRAM + 1 positions. Every string of LENGTH bytes holds an anchor with its
+the least of some window of LEAST - GRAM + 1 positions. Every string of LEAST bytes holds an anchor with its
 gram, and equal strings hold the same one, so each pair of equal strings is found at an anchor; there is one
-for some 85 bytes of text.
+for some 80 bytes of text.
 
 1. Documents give their anchors: the gram's hash g, and the hash c of the context, the bytes of all strings
-   of LENGTH that can hold the anchor (200 before, 400 after, as far as the document goes).
+   of up to LENGTH that can hold the anchor (160 before, 400 after, as far as the document goes).
 2. (g, c) is counted, with map-side partial sums. A context that stands twice is wholly repeated: copies, however
    many, are one row from here on. A gram with one context needs nothing more.
 3. The other contexts (one representative each) are sorted by gram and by the text after the anchor: the suffix
    array. In each gram's stretch, longest common prefixes of neighbours are scanned with a stack, which gives
    the tree of common-prefix intervals. An interval whose members agree on R bytes is tested for its left
    extensions: its members, ordered by the text before the anchor, fall into groups that agree on L bytes
-   as well; a group that no further byte extends without losing a member is a maximal repeat, with all its
-   occurrences. Those of L + R >= LENGTH are output.
+   as well; a group that no further byte extends on either side without losing a member is a maximal repeat, with
+   all its occurrences. Those of L + R >= LEAST give the spans. An anchor is in as many nested
+   intervals as there are depths from GRAM to LENGTH at most, so work grows with the stretch, not its square.
 4. A gram with over STRETCH contexts would be an unbounded stretch. Its contexts are hashed instead, exactly: in
-   LEVELS cores of 353 bytes, then, where a core stands twice, the core with its 47 bytes on either side (equal:
-   all its strings are repeated), else each of its 48 strings of 400 bytes. Only counts are grouped.
+   LEVELS cores of the length less 47 bytes, then, where a core stands twice, the core with its 47 bytes on either
+   side (equal: all its strings are repeated), else each of its 48 strings. Only counts are grouped.
 5. The covered intervals return to the documents, are united and cut out.
 
+``n_passages`` counts a document's maximal runs of repeats of LEAST bytes that another document also holds and
+that have PASSAGE_WORDS whole words or more. (Of a context that stands several times in one document and in
+no other, one occurrence is looked at for that.)
+
 Nulls and edges: a null or empty text has no bytes. Repeated rows are copies of each other like other equal
-texts; doc_id may be null. Texts under 400 bytes are kept whole. An empty table gives no rows.
+texts, but one document; doc_id may be null. Texts under LENGTH bytes are kept whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,13 +42,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termframe.llm.common import as_long, mix, pieces, read, table, text_bytes
 
-LENGTH, GRAM = 400, 200
-WINDOW = LENGTH - GRAM + 1
+LENGTH, LEAST, GRAM = 400, 240, 80
+WINDOW = LEAST - GRAM + 1
+PASSAGE_WORDS = 50
+#: Kinds of spans, as bits: of a string of LENGTH bytes that stands elsewhere; of one of LEAST bytes that stands in another document.
+REPEATED, SHARED = 1, 2
 #: Contexts of a gram that are sorted in one task: about 20 MB of text.
 STRETCH = 32_768
 STEP = 48
@@ -78,14 +87,14 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc, rest: np.uint64) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of texts laid end to end, and their grams' hashes."""
-    if len(data) < LENGTH:
+    if len(data) < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     values = np.minimum(gram_values(data), _TOP - np.uint64(1)) + np.uint64(1)
     least = _sliding(values, WINDOW, np.minimum, _TOP)
     inside = np.zeros(len(least), bool)  # windows that lie in one document
     for low, high in zip(offsets.tolist(), offsets[1:].tolist()):
-        if high - low >= LENGTH:
-            inside[low : high - LENGTH + 1] = True
+        if high - low >= LEAST:
+            inside[low : high - LEAST + 1] = True
     least[~inside] = 0
     margin = np.zeros(WINDOW - 1, np.uint64)
     most = _sliding(np.concatenate((margin, least, margin)), WINDOW, np.maximum, np.uint64(0))
@@ -103,7 +112,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         contexts = [digest(view[a:b], seed) for a, b, seed in zip(low.tolist(), high.tolist(), (at - low).tolist())]
         index = pa.array(row)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(index), "k": batch.column("k").take(index), "pos": pa.array((at - offsets[row]).astype(np.int32)), "g": as_long(grams), "c": as_long(np.array(contexts, np.uint64))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(index), "k": batch.column("k").take(index), "pos": pa.array((at - offsets[row]).astype(np.int32)), "end": pa.array((high - offsets[row]).astype(np.int32)), "g": as_long(grams), "c": as_long(np.array(contexts, np.uint64))})
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +124,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each wanted anchor: (g, once, doc_id, k, pos, before, text)."""
+    """The bytes around each wanted anchor: (g, once, many, hot, doc_id, k, pos, before, text)."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for a in range(0, batch.num_rows, 32):
-            rows = {name: [] for name in ("g", "once", "hot", "doc_id", "k", "pos", "before", "text")}
+            rows = {name: [] for name in ("g", "once", "many", "hot", "doc_id", "k", "pos", "before", "text")}
             for r in batch.slice(a, 32).to_pylist():
                 text = unpack.decompress(r["z"])
                 for x in r["wanted"]:
                     low = max(0, x["pos"] - (WINDOW - 1))
-                    values = x["g"], x["once"], x["hot"], r["doc_id"], r["k"], x["pos"], x["pos"] - low, text[low : x["pos"] + LENGTH]
+                    values = x["g"], x["once"], x["many"], x["hot"], r["doc_id"], r["k"], x["pos"], x["pos"] - low, text[low : x["pos"] + LENGTH]
                     for name, value in zip(rows, values):
                         rows[name].append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_pydict({name: pa.array(v, kind) for (name, v), kind in zip(rows.items(), kinds)})
 
 
@@ -160,6 +169,16 @@ class Stretch:
         self.rank = np.empty(self.n, np.int64)
         self.rank[self.order] = np.arange(self.n)
         self.left = np.array([0, *(agree(before[i], before[j]) for i, j in zip(self.order, self.order[1:]))])
+        self.least = [np.array(self.prefixes)]  # of 2 ** i neighbours' common prefixes from a place on
+        while 2 ** len(self.least) < self.n:
+            x, step = self.least[-1], 2 ** (len(self.least) - 1)
+            self.least.append(np.minimum(x[:-step], x[step:]))
+
+    def common(self, first: int, last: int) -> int:
+        """Bytes that all anchors from the first to the last of these places agree on."""
+        i = (last - first).bit_length() - 1
+        x = self.least[i]
+        return int(min(x[first + 1], x[last + 1 - 2**i]))
 
     def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each common-prefix interval, inner ones first: its depth, its members in the order of the texts
@@ -168,38 +187,28 @@ class Stretch:
             ranks = np.sort(self.rank[first:end])
             yield depth, self.order[ranks], np.minimum.reduceat(self.left[: ranks[-1] + 1], ranks[:-1] + 1)
 
-    def maximal_repeats(self, least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, list[int]]]:
         """(L, R, members): all anchors that agree on L bytes before and R bytes after, L + R >= least, for each
         group that a further byte on either side would make smaller."""
         for depth, members, left in self.nodes():
             if depth + left.max() >= least:
                 for shared, a, b in intervals([0, *left.tolist()]):
                     group = members[a:b]
-                    if shared + depth >= least and min(self.prefixes[group.min() + 1 : group.max() + 1]) == depth:
+                    if shared + depth >= least and self.common(int(group.min()), int(group.max())) == depth:
                         yield shared, depth, group.tolist()  # no byte after extends all of them, either
             if depth >= least and not left.all():  # some differ in the byte before: no byte extends all to the left
                 yield 0, depth, members.tolist()
 
-    def reaches(self, least: int = LENGTH) -> list[list[tuple[int, int]]]:
-        """For each anchor the (L, R) of the maximal repeats it is in that are not within another of its own. In an
-        interval that is its smallest group's L, which it shares with a neighbour."""
-        out: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
-        most = np.full(self.n, -1)
-        for depth, members, left in self.nodes():
-            longest = np.maximum(np.append(left, 0), np.insert(left, 0, 0))
-            new = (longest + depth >= least) & (longest > most[members])
-            for i, n in zip(members[new].tolist(), longest[new].tolist()):
-                out[i].append((n, depth))
-                most[i] = n
-        return out
-
 
-_SPAN = "doc_id long, k long, low int, high int"
+_SPAN = "doc_id long, k long, low int, high int, kind int"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_pydict({name: pa.array(v, kind) for name, kind, v in zip(("doc_id", "k", "low", "high"), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), columns)})
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_pydict({name: pa.array(v, kind) for name, kind, v in zip(("doc_id", "k", "low", "high", "kind"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), columns)})
+
+
+_AROUND = ("g", "once", "many", "doc_id", "k", "pos", "before", "text")
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +216,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple] = []
     for batch in batches:
         out = []
-        for row in zip(*[batch.column(c).to_pylist() for c in ("g", "once", "doc_id", "k", "pos", "before", "text")]):
+        for row in zip(*[batch.column(c).to_pylist() for c in _AROUND]):
             if held and held[0][0] != row[0]:
                 out += _stretch(held)
                 held = []
@@ -218,14 +227,28 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _spans(_stretch(held))
 
 
+def _repeats(before: list[bytes], after: list[bytes]) -> Iterator[tuple[int, int, list[int]]]:
+    """The maximal repeats of a stretch; most have two members only."""
+    if len(after) > 2:
+        yield from Stretch(before, after).maximal_repeats(LEAST)
+    elif len(after) == 2:
+        left, right = agree(*before), agree(*after)
+        if left + right >= LEAST:
+            yield left, right, [0, 1]
+
+
 def _stretch(rows: list[tuple]) -> list[tuple]:
-    rows = sorted(rows, key=lambda r: r[6][r[5] :])  # the suffix array of this gram's anchors
-    found = Stretch([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows]).reaches()
-    out = []
-    for (_, once, doc_id, k, pos, _, _), reach in zip(rows, found):
-        if once:  # a context that stands twice is covered as a whole already
-            out += [(doc_id, k, low, high) for low, high in _united(sorted((pos - b, pos + a) for b, a in reach))]
-    return out
+    rows = sorted(rows, key=lambda r: r[7][r[6] :])  # the suffix array of this gram's anchors
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for left, right, members in _repeats([r[7][: r[6]][::-1] for r in rows], [r[7][r[6] :] for r in rows]):
+        some = [rows[i] for i in members]
+        shared = SHARED if any(r[2] for r in some) or len({r[3:5] for r in some}) > 1 else 0
+        for i, (_, once, _, _, _, pos, _, _) in zip(members, some):
+            # a context that stands twice is covered as a whole already
+            kind = shared | (REPEATED if once and left + right >= LENGTH else 0)
+            if kind:
+                found.setdefault((i, kind), []).append((pos - left, pos + right))
+    return [(*rows[i][3:5], low, high, kind) for (i, kind), spans in found.items() for low, high in _united(sorted(spans))]
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -238,54 +261,70 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context and level: hashes of the core and of all that its strings cover."""
-    for batch in batches:
-        ids, level, core, whole = [], [], [], []
-        for i, (before, text) in enumerate(zip(batch.column("before").to_pylist(), batch.column("text").to_pylist())):
-            for l in LEVELS:
-                last = min(l + STEP - 1, WINDOW - 1)  # strings start l to last bytes before the anchor
-                if before < l or len(text) < before + LENGTH - last:
-                    continue
-                a, b = max(0, before - last), min(len(text), before + LENGTH - l)
-                ids.append(i), level.append(l)
-                core.append(xxhash.xxh3_64_intdigest(text[before - l : before + LENGTH - last], l))
-                whole.append(xxhash.xxh3_64_intdigest(text[a:b], (before - a) * 1000 + l))
-        index = pa.array(ids, pa.int64())
-        yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in ("g", "once", "doc_id", "k", "pos", "before", "text")} | {"level": pa.array(level, pa.int32()), "core": as_long(np.array(core, np.uint64)), "whole": as_long(np.array(whole, np.uint64))})
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context and level: the hash of each string of LENGTH bytes."""
-    for batch in batches:
-        ids, start, digest = [], [], []
-        for i, (before, text, l, pos) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "text", "level", "pos")])):
-            for d in range(l, min(l + STEP, WINDOW, before + 1)):
-                if len(text) >= before - d + LENGTH:
-                    ids.append(i), start.append(pos - d)
-                    digest.append(xxhash.xxh3_64_intdigest(text[before - d : before - d + LENGTH], d))
-        index = pa.array(ids, pa.int64())
-        yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in ("g", "once", "doc_id", "k")} | {"low": pa.array(start, pa.int32()), "digest": as_long(np.array(digest, np.uint64))})
-
-
-def hot_spans(contexts: DataFrame) -> DataFrame:
-    """The repeated spans of contexts whose gram has too many to sort in one task: by counts of hashes."""
-    cores = contexts.mapInArrow(_cores, "g long, once boolean, doc_id long, k long, pos int, before int, text binary, level int, core long, whole long")
-    counts = cores.groupBy("g", "level", "core", "whole").agg(F.count("*").alias("n"))
-    counts = table(counts)
-    both = counts.groupBy("g", "level", "core").agg(F.sum("n").alias("cores")).where("cores > 1")
-    kept = counts.join(both.hint("merge"), ["g", "level", "core"])
+def _cores(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per context and level: hashes of the core and of all that its strings of ``length`` cover."""
+        for batch in batches:
+            ids, level, core, whole = [], [], [], []
+            for i, (before, text) in enumerate(zip(batch.column("before").to_pylist(), batch.column("text").to_pylist())):
+                for l in LEVELS:
+                    last = min(l + STEP - 1, WINDOW - 1)  # strings start l to last bytes before the anchor
+                    if before < l or len(text) < before + length - last:
+                        continue
+                    a, b = max(0, before - last), min(len(text), before + length - l)
+                    ids.append(i), level.append(l)
+                    core.append(xxhash.xxh3_64_intdigest(text[before - l : before + length - last], l))
+                    whole.append(xxhash.xxh3_64_intdigest(text[a:b], (before - a) * 1000 + l))
+            index = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in _AROUND} | {"level": pa.array(level, pa.int32()), "core": as_long(np.array(core, np.uint64)), "whole": as_long(np.array(whole, np.uint64))})
+
+    return run
+
+
+def _strings(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per context and level: the hash of each string of ``length`` bytes."""
+        for batch in batches:
+            ids, start, digest = [], [], []
+            for i, (before, text, l, pos) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "text", "level", "pos")])):
+                for d in range(l, min(l + STEP, WINDOW, before + 1)):
+                    if len(text) >= before - d + length:
+                        ids.append(i), start.append(pos - d)
+                        digest.append(xxhash.xxh3_64_intdigest(text[before - d : before - d + length], d))
+            index = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in ("g", "once", "many", "doc_id", "k")} | {"low": pa.array(start, pa.int32()), "digest": as_long(np.array(digest, np.uint64))})
+
+    return run
+
+
+def _several() -> Column:
+    """Whether rows are of several documents, or of contexts that are."""
+    return (F.bool_or("many") | (F.min(F.struct("doc_id", "k")) != F.max(F.struct("doc_id", "k")))).alias("several")
+
+
+def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """The repeated spans (``length`` LENGTH) or shared spans (LEAST) of contexts whose gram has too many to sort in
+    one task: by counts of hashes."""
+    repeated = length == LENGTH
+    wanted = F.col("once") if repeated else F.lit(True)
+    kind = F.lit(REPEATED if repeated else SHARED).alias("kind")
+    around = "g long, once boolean, many boolean, doc_id long, k long, pos int, before int, text binary"
+    cores = contexts.mapInArrow(_cores(length), around + ", level int, core long, whole long")
+    counts = table(cores.groupBy("g", "level", "core", "whole").agg(F.count("*").alias("n"), _several()))
+    both = counts.groupBy("g", "level", "core").agg(F.sum("n").alias("cores"), F.bool_or("several").alias("any")).where("cores > 1" if repeated else "cores > 1 OR any")
+    kept = counts.join(both.drop("any").hint("merge"), ["g", "level", "core"])
     found = cores.join(kept.hint("merge"), ["g", "level", "core", "whole"])
     last = F.least(F.col("level") + (STEP - 1), F.lit(WINDOW - 1), F.col("before"))
-    end = F.least(F.octet_length("text") - F.col("before"), LENGTH - F.col("level"))
-    whole = found.where("once AND n > 1").select("doc_id", "k", (F.col("pos") - last).alias("low"), (F.col("pos") + end).alias("high"))
+    end = F.least(F.octet_length("text") - F.col("before"), length - F.col("level"))
+    settled = (F.col("n") > 1) if repeated else F.col("several")
+    whole = found.where(wanted & settled).select("doc_id", "k", (F.col("pos") - last).alias("low"), (F.col("pos") + end).alias("high"), kind)
     # a core's wholly repeated representatives matter to the others as one
-    single = found.where("n = 1").select("g", "once", "doc_id", "k", "pos", "before", "text", "level")
-    shared = found.where("n > 1").withColumn("once", F.lit(False)).dropDuplicates(["g", "level", "core", "whole"]).select("g", "once", "doc_id", "k", "pos", "before", "text", "level")
-    strings = single.unionByName(shared).mapInArrow(_strings, "g long, once boolean, doc_id long, k long, low int, digest long")
-    strings = table(strings)
-    twice = strings.groupBy("g", "digest").agg(F.count("*").alias("n")).where("n > 1").select("g", "digest")
-    exact = strings.where("once").join(twice.hint("merge"), ["g", "digest"], "left_semi").select("doc_id", "k", "low", (F.col("low") + LENGTH).alias("high"))
+    columns = ["g", "once", "many", "doc_id", "k", "pos", "before", "text", "level"]
+    single = found.where(~settled).select(*columns)
+    shared = found.where(settled).withColumn("once", F.lit(False)).withColumn("many", F.col("several")).dropDuplicates(["g", "level", "core", "whole"]).select(*columns)
+    strings = table(single.unionByName(shared).mapInArrow(_strings(length), "g long, once boolean, many boolean, doc_id long, k long, low int, digest long"))
+    twice = strings.groupBy("g", "digest").agg(F.count("*").alias("n"), _several()).where("n > 1" if repeated else "several").select("g", "digest")
+    exact = strings.where(wanted).join(twice.hint("merge"), ["g", "digest"], "left_semi").select("doc_id", "k", "low", (F.col("low") + length).alias("high"), kind)
     return whole.unionByName(exact)
 
 
@@ -295,23 +334,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, low, high): spans of repeated bytes of ``docs`` (doc_id, k, text), which may overlap."""
-    every = table(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "doc_id long, k long, pos int, g long, c long"))
-    contexts = table(every.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("rep")).select("g", "c", "n", "rep.*"))
+    """(doc_id, k, low, high, kind): repeated and shared spans of ``docs`` (doc_id, k, text), which may overlap."""
+    every = table(docs.where(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, "doc_id long, k long, pos int, end int, g long, c long"))
+    document = F.struct("doc_id", "k")
+    counted = every.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("rep"), (F.min(document) != F.max(document)).alias("many"))
+    contexts = table(counted.select("g", "c", "n", "many", "rep.*"))
     grams = contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    several = contexts.join(grams.hint("merge"), "g").select("doc_id", "k", F.struct("pos", "g", (F.col("n") == 1).alias("once"), (F.col("m") > STRETCH).alias("hot")).alias("x"))
+    several = contexts.join(grams.hint("merge"), "g").select("doc_id", "k", F.struct("pos", "g", (F.col("n") == 1).alias("once"), "many", (F.col("m") > STRETCH).alias("hot")).alias("x"))
     wanted = several.groupBy("doc_id", "k").agg(F.collect_list("x").alias("wanted"))
     packed = docs.mapInArrow(_packed, "doc_id long, k long, z binary")
     around = packed.join(wanted.hint("merge"), ["doc_id", "k"]).dropDuplicates(["doc_id", "k"])
-    around = around.select("doc_id", "k", "z", "wanted").mapInArrow(_contexts, "g long, once boolean, hot boolean, doc_id long, k long, pos int, before int, text binary")
+    around = around.select("doc_id", "k", "z", "wanted").mapInArrow(_contexts, "g long, once boolean, many boolean, hot boolean, doc_id long, k long, pos int, before int, text binary")
     around = table(around)
-    columns = ["g", "once", "doc_id", "k", "pos", "before", "text"]
-    sorted_ = around.where("NOT hot").select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_suffixes, _SPAN)
-    whole = every.join(contexts.where("n > 1").select("g", "c").hint("merge"), ["g", "c"], "left_semi")
-    whole = whole.select("doc_id", "k", F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0)).alias("low"), (F.col("pos") + LENGTH).alias("high"))
+    sorted_ = around.where("NOT hot").select(*_AROUND).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_suffixes, _SPAN)
+    whole = every.join(contexts.where("n > 1").select("g", "c", "many").hint("merge"), ["g", "c"])
+    low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
+    kind = F.when(F.col("end") - low >= LENGTH, REPEATED).otherwise(0) + F.when(F.col("many"), SHARED).otherwise(0)
+    whole = whole.select("doc_id", "k", low.alias("low"), F.col("end").alias("high"), kind.alias("kind")).where("kind > 0")
     out = sorted_.unionByName(whole)
-    hot = around.where("hot").select(*columns)
-    return out.unionByName(hot_spans(hot)) if hot.limit(1).count() else out
+    hot = around.where("hot").select(*_AROUND)
+    if hot.limit(1).count():
+        out = out.unionByName(hot_spans(hot, LENGTH)).unionByName(hot_spans(hot, LEAST))
+    return out
+
+
+def _words(text: bytes, low: int, high: int) -> int:
+    """Whole words from ``low`` to ``high``."""
+    within = lambda at: 0 < at < len(text) and text[at - 1 : at + 1].split() == [text[at - 1 : at + 1]]
+    return len(text[low:high].split()) - within(low) - within(high)
 
 
 def _cut(digest: bool):
@@ -320,20 +370,21 @@ def _cut(digest: bool):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 some = batch.slice(a, 64)
-                n_bytes, removed, runs, kept = [], [], [], []
+                n_bytes, removed, runs, kept, passages = [], [], [], [], []
                 for z, spans in zip(some.column("z").to_pylist(), some.column("spans").to_pylist()):
                     text = unpack.decompress(z)
-                    cuts = _united(sorted((x["low"], min(x["high"], len(text))) for x in spans or ()))
+                    cuts, shared = (_united(sorted((x["low"], x["high"]) for x in spans or () if x["kind"] & kind)) for kind in (REPEATED, SHARED))
                     parts, at = [], 0
                     for low, high in cuts:
                         parts.append(text[at:low])
                         at = high
                     parts.append(text[at:])
                     n_bytes.append(len(text)), removed.append(sum(b - a for a, b in cuts)), runs.append(len(cuts))
+                    passages.append(sum(_words(text, *x) >= PASSAGE_WORDS for x in shared))
                     kept.append(b"".join(parts))
                 out = {"doc_id": pa.array([None if x == -(2**63) else x for x in some.column("doc_id").to_pylist()], pa.int64())}
                 if digest:
-                    out |= {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+                    out |= {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "n_passages": pa.array(passages, pa.int64())}
                 else:  # a cut may fall within a character; what is left of it goes as well
                     out |= {"text": pa.array([x.decode(errors="ignore") for x in kept], pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
@@ -343,7 +394,7 @@ def _cut(digest: bool):
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     docs = keyed(docs.select("doc_id", "text"))
-    found = repeated_spans(docs).groupBy("doc_id", "k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    found = repeated_spans(docs).groupBy("doc_id", "k").agg(F.collect_set(F.struct("low", "high", "kind")).alias("spans"))
     return docs.mapInArrow(_packed, "doc_id long, k long, z binary").join(found.hint("merge"), ["doc_id", "k"], "left").select("doc_id", "z", "spans")
 
 
@@ -353,8 +404,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
-    return _with_spans(docs).mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passages."""
+    return _with_spans(docs).mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,16 +220,44 @@ def expected_strings(rows):
     return out
 
 
+def expected_passages(rows):
+    """Per row, the runs of strings of 240 bytes that another document also holds, if of 50 whole words or more."""
+    documents = {(i, t or ""): (t or "").encode() for i, t in rows}
+    holders = defaultdict(set)
+    for d, b in documents.items():
+        for i in range(len(b) - 239):
+            holders[b[i : i + 240]].add(d)
+    out = {}
+    for d, b in documents.items():
+        inside = np.zeros(len(b) + 2, int)
+        for i in range(len(b) - 239):
+            if len(holders[b[i : i + 240]]) > 1:
+                inside[i + 1 : i + 241] = 1
+        edges = np.flatnonzero(np.diff(inside))
+        out[d] = sum(len([m for m in re.finditer(rb"\S+", b) if low <= m.start() and m.end() <= high]) >= 50 for low, high in edges.reshape(-1, 2).tolist())
+    return [out[i, t or ""] for i, t in rows]
+
+
 @pytest.mark.parametrize("stretch", [32_768, 3])
 def test_repeated_strings(spark, monkeypatch, stretch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     rows = string_rows()
     expected = expected_strings(rows)
     found = [tuple(r) for r in suffix_dedup.repeat_digests(frame(spark, rows)).collect()]
-    assert key(found) == key(expected) and sum(r[2] for r in expected) > 10_000
+    assert key(r[:5] for r in found) == key(expected) and sum(r[2] for r in expected) > 10_000
+    passages = [(i, *x[1:], n > 0) for (i, _), x, n in zip(rows, expected, expected_passages(rows))]
+    assert key((*r[:5], r[5] > 0) for r in found) == key(passages) and 20 < sum(x[-1] for x in passages) < 140
     assert suffix_dedup.repeat_digests(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_of_a_very_long_text(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long), (2, long[1_000_000:1_000_401]), (3, "x" + long[-400:])]
+    found = {r["doc_id"]: r for r in suffix_dedup.repeat_digests(frame(spark, rows)).collect()}
+    assert [(found[i]["n_removed"], found[i]["n_spans"]) for i in (1, 2, 3)] == [(801, 2), (401, 1), (400, 1)]
+
+
 def test_maximal_repeats():
     rng = random.Random(3)
 
@@ -250,9 +278,9 @@ def test_maximal_repeats():
         assert groups <= expected
         for a, b, m in expected:
             assert any(a2 >= a and b2 >= b and {*m} <= {*m2} for a2, b2, m2 in groups)
-        cover = defaultdict(set)
-        for a, b, m in expected:
-            for i in m:
-                cover[i] |= set(range(-a, b))
-        for i, reach in enumerate(stretch.reaches(least)):
-            assert {k for a, b in reach for k in range(-a, b)} == cover[i]
+        cover, mine = defaultdict(set), defaultdict(set)
+        for groups, out in ((expected, cover), (groups, mine)):
+            for a, b, m in groups:
+                for i in m:
+                    out[i] |= set(range(-a, b))
+        assert cover == mine
