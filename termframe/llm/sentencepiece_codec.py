@@ -1,10 +1,11 @@
 """SentencePiece encoding with byte offsets, and decoding.
 
 A model file holds a compiled character map: a double-array trie of source strings and the strings that
-replace them. ``Normaliser`` walks it with the longest prefix at each place, as the library does, and
-records for every normalised byte the source byte it came from. Pieces are laid end to end over the
-normalised text, so their lengths give normalised spans and the record projects those to spans of the
-original bytes.
+replace them. ``Normaliser`` walks it from every place of a text at once, a byte of all places a step, and keeps the
+longest prefix that ends in an entry (a model without a map has none anywhere). Reading from the left, such
+prefixes are replaced and all other characters stay; spaces are squeezed and marked as the model says. Every
+normalised byte has the source byte it came from. Pieces are laid end to end over the normalised text, so
+their lengths give normalised spans and the alignment projects those to spans of the original bytes.
 
 Nulls and edges: a null text is an empty one; an empty text has the begin and end ids only and no spans.
 Rows keep their order, repeats and further columns.
@@ -24,9 +25,8 @@ from sentencepiece import sentencepiece_model_pb2
 
 from termframe.llm.common import pieces, read, text_bytes
 
-#: The library's marks: a space within normalised text, and the length of a UTF-8 sequence by its first byte's high half.
+#: The library's mark of a space within normalised text.
 SPACE_MARK = "▁".encode()
-_LENGTH = np.array([1] * 12 + [2, 2, 3, 4])
 
 
 class Normaliser:
@@ -37,89 +37,82 @@ class Normaliser:
         spec = proto.normalizer_spec
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.own = sorted((p.piece.encode() for p in proto.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
+        self.own = sorted((p.piece.encode() for p in proto.pieces if p.type == p.USER_DEFINED), key=len)
         blob = spec.precompiled_charsmap
         size = int.from_bytes(blob[:4], "little") if blob else 0
-        self.trie = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.trie = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64)
         self.targets = blob[4 + size :]
 
-    def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
-        """Length and replacement of the longest entry of the character map that starts at ``at``."""
-        found, units = None, self.trie
-        if not units:
-            return None
+    def longest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in a text's bytes the length of the longest entry of the character map that starts
+        there (0 if there is none), and where its replacement stands."""
+        lengths, targets = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        units = self.trie
         offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
-        node = offset(units[0])
-        for i in range(at, len(text)):
-            node ^= text[i]
+        at = np.arange(len(data) if len(units) else 0)
+        node = np.full(len(at), offset(units[0]) if len(units) else 0)
+        depth = 0
+        while len(at):
+            byte = data[at + depth].astype(np.int64)
+            node = node ^ byte
             unit = units[node]
-            if unit & 0x800000FF != text[i]:
-                break
-            node ^= offset(unit)
-            if unit >> 8 & 1:
-                start = units[node] & 0x7FFFFFFF
-                found = i + 1 - at, self.targets[start : self.targets.index(b"\0", start)]
-        return found
-
-    def _one(self, text: bytes, at: int) -> tuple[int, bytes]:
-        for x in self.own:
-            if text.startswith(x, at):
-                return len(x), x
-        if found := self.longest(text, at):
-            return found
-        n = int(_LENGTH[text[at] >> 4])
-        return n, text[at : at + n]
-
-    def plain(self) -> bool:
-        """Whether each space becomes a mark and all else stays, so that numpy can do the work."""
-        return not self.trie and not self.squeeze and not self.own and self.escape and not self.suffix
+            good = unit & 0x800000FF == byte
+            at, unit, node = at[good], unit[good], node[good]
+            node = node ^ offset(unit)
+            depth += 1
+            ends = unit >> 8 & 1 == 1
+            lengths[at[ends]] = depth
+            targets[at[ends]] = units[node[ends]] & 0x7FFFFFFF
+            inside = at + depth < len(data)
+            at, node = at[inside], node[inside]
+        return lengths, targets
+
+    def _replaced(self, text: bytes, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """(place, length, new bytes) of what is replaced, from the left."""
+        lengths, targets = self.longest(data)
+        for x in self.own:  # the model's own symbols stay as they are and go before the map; the longest is last
+            at = text.find(x)
+            while at >= 0:
+                lengths[at], targets[at] = len(x), -1
+                at = text.find(x, at + 1)
+        out, end = [], 0
+        for at in np.flatnonzero(lengths).tolist():
+            if at >= end:
+                n, start = int(lengths[at]), int(targets[at])
+                out.append((at, n, text[at : at + n] if start < 0 else self.targets[start : self.targets.index(b"\0", start)]))
+                end = at + n
+        return out
 
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the place in ``text``."""
-        if not text:
+        data = np.frombuffer(text, np.uint8)
+        parts, places, leading, at = [], [], [], 0
+        for start, n, new in self._replaced(text, data):
+            parts += [data[at:start], np.frombuffer(new, np.uint8)]
+            places += [np.arange(at, start), np.full(len(new), start)]
+            leading += [np.ones(start - at, bool), np.arange(len(new)) < len(new) - len(new.lstrip(b" "))]
+            at = start + n
+        x = np.concatenate([*parts, data[at:]])
+        align = np.concatenate([*places, np.arange(at, len(data))]).astype(np.int64)
+        if self.squeeze and len(x):  # a space that starts what a place became goes if one stands before it
+            blank = x == 32
+            stay = ~(blank & np.concatenate([*leading, np.ones(len(data) - at, bool)]) & np.concatenate(([True], blank[:-1])))
+            x, align = x[stay], align[stay]
+        if not len(x):
             return b"", np.zeros(1, np.int64)
-        if self.plain():
-            return self._plain(text)
-        steps, at = [], 0
-        while at < len(text):
-            n, new = self._one(text, at)
-            steps.append((at, n, new))
-            at += n
+        first, end = align[0], len(data)
         if self.squeeze:
-            while steps and steps[0][2] == b" ":
-                steps.pop(0)
-        out, align = bytearray(), []
-        space = SPACE_MARK if self.escape else b" "
-        end = len(text)
-
-        def put(x: bytes, source: int) -> None:
-            out.extend(x)
-            align.extend([source] * len(x))
-
-        if not steps:
-            return b"", np.zeros(1, np.int64)
-        if self.dummy and not self.suffix:
-            put(space, steps[0][0])
-        last_space = self.squeeze
-        for source, _, new in steps:
-            if self.squeeze and last_space:
-                new = new.lstrip(b" ")
-            if new:
-                put(new.replace(b" ", space) if self.escape else new, source)
-                last_space = self.squeeze and new.endswith(b" ")
-        if self.squeeze:
-            while out.endswith(space):
-                end = align[-len(space)]
-                del out[-len(space) :], align[-len(space) :]
-        if self.dummy and self.suffix:
-            put(space, end)
-        return bytes(out), np.array([*align, end], np.int64)
-
-    def _plain(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        source = np.frombuffer(text, np.uint8)
-        width = np.where(source == 32, 3, 1)
-        align = np.concatenate((np.zeros(3 * self.dummy, np.int64), np.repeat(np.arange(len(text)), width), [len(text)]))
-        return (b" " + text if self.dummy else text).replace(b" ", SPACE_MARK), align
+            tail = len(x) - len(x.tobytes().rstrip(b" "))
+            if tail:
+                end = align[-tail]
+                x, align = x[:-tail], align[:-tail]
+        if self.dummy:
+            x = np.append(x, 32) if self.suffix else np.insert(x, 0, 32)
+            align = np.append(align, end) if self.suffix else np.insert(align, 0, first)
+        normal = x.astype(np.uint8).tobytes()
+        if self.escape:
+            normal, align = normal.replace(b" ", SPACE_MARK), np.repeat(align, np.where(x == 32, len(SPACE_MARK), 1))
+        return normal, np.append(align, end)
 
 
 class Codec:
@@ -164,10 +157,9 @@ def _codec_job(model: bytes, digest: bool, keep: list[str]):
             if digest:
                 n = list(map(len, encoded))
                 ids_sha = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in encoded]
-                # decoding starts from the pieces' spans' own ids, as a reader of the ids would
                 decoded = [hashlib.sha256(codec.library.decode(x).encode()).hexdigest() for x in encoded]
-                covered = [int(codec.spans(t, x)[-1, 1]) for t, x in zip(texts, encoded)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": decoded, "n_bytes": pa.array(covered, pa.int64())})
+                spans = [hashlib.sha256(codec.spans(t, x).astype("<u4").tobytes()).hexdigest() for t, x in zip(texts, encoded)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": decoded, "spans_sha256": spans})
                 continue
             spans = [codec.spans(t, x) for t, x in zip(texts, encoded)]
             out = {name: batch.column(name) for name in keep}
@@ -191,8 +183,9 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
 
 
 def codec_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and n_bytes, the end of the last span."""
-    return docs.select("doc_id", "text").mapInArrow(_codec_job(load_model(model_path), True, []), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_sha256 of all ids' spans (start and end
+    bytes as little-endian unsigned 32-bit integers)."""
+    return docs.select("doc_id", "text").mapInArrow(_codec_job(load_model(model_path), True, []), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,12 @@ def test_codec(spark, docs):
         expected.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(r)[:4] for r in rows), key=key) == sorted(expected, key=key)
+    codec, spans = sentencepiece_codec.Codec(sentencepiece_codec.load_model()), {}
+    for x in (r["text"] or "" for r in docs.collect()):
+        ids = codec.encode([x])[0]
+        spans[hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] = hashlib.sha256(codec.spans(x, ids).astype("<u4").tobytes()).hexdigest()
+    assert {r["ids_sha256"]: r["spans_sha256"] for r in rows} == spans
+    assert sentencepiece_codec.codec_digests(docs.limit(0)).count() == 0 == sentencepiece_codec.encode_documents(docs.limit(0)).count()
     out = sentencepiece_codec.encode_documents(docs)
     assert out.columns == ["doc_id", "text", "n_tokens", "ids", "starts", "ends", "decoded"]
     for r in out.collect():
@@ -74,6 +80,17 @@ def test_codec(spark, docs):
         assert b"".join(raw[a:b] for a, b in zip(r["starts"], r["ends"])) == raw
 
 
+def test_spans_of_a_very_long_text_are_the_librarys(spark):
+    text = "The été 日本 😀 x\ty  zz\n" * 20_000
+    row = sentencepiece_codec.encode_documents(spark.createDataFrame([(1, text)], "ids long, text string")).first()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = library.encode(text, return_type="proto").pieces
+    assert row["ids"] == [1, *(p.id for p in pieces), 2] and row["decoded"] == text
+    for a, b, p in zip(row["starts"][1:-1], row["ends"][1:-1], pieces):
+        if p.surface and not p.piece.startswith("<0x"):
+            assert (a, b) == (p.begin, p.end)
+
+
 def test_spans_agree_with_the_library():
     codec = sentencepiece_codec.Codec(sentencepiece_codec.load_model())
     for text in filter(None, TEXTS):
@@ -138,5 +155,7 @@ def test_longest_prefix_normalisation(squeeze):
         normal, align = normalise(text.encode())
         assert normal.decode().replace("▁", " ") == library.normalize(text).replace("▁", " "), text
         assert len(align) == len(normal) + 1 and (np.diff(align) >= 0).all() and align[-1] <= len(text.encode())
+    text = "abx ﬁ\t\t éab" * 30_000
+    assert normalise(text.encode())[0].decode().replace("▁", " ") == library.normalize(text).replace("▁", " ")
     normal, align = normalise("xﬁy".encode())
     assert [int(align[normal.index(c)]) for c in (b"x", b"f", b"i", b"y")] == [0, 1, 1, 4]
