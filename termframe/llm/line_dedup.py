@@ -10,8 +10,10 @@ the largest doc_id that holds it. Keys are compared by 128-bit hashes.
 3. What is left goes to shards by hash. Each shard becomes one row: a minimal perfect hash of levels
    of bits (a key sits in the first level where it is alone; its index is the number of bits set before
    its own) and, by that index, arrays of fingerprints, counts and keepers.
+   Keys that agree in the half of the hash that the index is built on are kept in a short list beside it.
 4. Probes (doc_id, hash) go to the shard's arrays, not to lines. Each shard is laid beside its probes in
-   one sorted stream; a shard with many probes is laid beside each of several salted parts of them.
+   one sorted stream; a shard with many probes is laid beside each of several salted parts of them, as many
+   as its own probes need.
 5. Hits return to the documents as one array a document, and the texts are rewritten.
 
 Nulls and edges: a null or empty text is one empty line. A row without doc_id keeps all its lines and is
@@ -30,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termframe.llm.common import SPACES, mix, pieces, read, table
+from termframe.llm.common import SPACES, free_name, mix, pieces, read, table
 
-#: Keys in one shard of the index, on average: about 100 KB of arrays.
-SHARD_KEYS = 4_000
+#: Keys in one shard of the index, on average: about 100 KB of arrays. With more than MOST_SHARDS of them shards are
+#: larger instead, so that the numbers of their parts (8 bytes a shard) can be broadcast.
+SHARD_KEYS, MOST_SHARDS = 4_000, 200_000
 #: Probes that one copy of a shard serves, on average.
 PROBES = 10_000
 
@@ -112,29 +115,32 @@ class PerfectHash:
         return out
 
 
-_SHARD = "shard int, n_probes long, sizes binary, words binary, rest binary, prints binary, counts binary, keepers binary"
+_BLOBS = ("sizes", "words", "rest", "prints", "counts", "keepers", "others")
+_SHARD = "shard int, n_probes long, " + ", ".join(f"{b} binary" for b in _BLOBS)
 
 
 def _build_shard(rows: pa.Table) -> pa.Table:
     h, f, n, keeper = (rows.column(c).to_numpy().astype(np.int64) for c in ("h", "f", "n", "keeper"))
+    probes = int(n.sum())
+    first = np.zeros(len(h), bool)
+    first[np.unique(h, return_index=True)[1]] = True
+    others = np.stack((h[~first], f[~first], keeper[~first]), axis=1)  # keys whose h another one has
+    h, f, n, keeper = h[first], f[first], n[first], keeper[first]
     found = PerfectHash.build(h.view(np.uint64))
     at = found.index(h.view(np.uint64))
     by = {"prints": f, "counts": np.minimum(n, 2**31 - 1).astype(np.int32), "keepers": keeper}
     for name, values in by.items():
         by[name] = np.empty_like(values)
         by[name][at] = values
-    blobs = {"sizes": found.sizes, "words": found.words, "rest": found.rest} | by
-    return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "n_probes": pa.array([int(n.sum())], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
+    blobs = {"sizes": found.sizes, "words": found.words, "rest": found.rest, "others": others} | by
+    return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "n_probes": pa.array([probes], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
 
 
 def line_index(keys: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
-    """One row a shard over the keys of at least ``min_docs`` rows of ``keys``, and the number of shards.
-    Two keys that agree in h but not in f are kept apart by shard arrays of their own (they are one in
-    2**64 pairs): only the smaller f is indexed, the other's lines stay."""
+    """One row a shard over the keys of at least ``min_docs`` rows of ``keys``, and the number of shards."""
     counts = keys.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     counts = table(counts)
-    shards = max(1, -(-counts.count() // SHARD_KEYS))
-    counts = counts.groupBy("h").agg(F.min(F.struct("f", "n", "keeper")).alias("x")).select("h", "x.*")
+    shards = min(MOST_SHARDS, max(1, -(-counts.count() // SHARD_KEYS)))
     counts = counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     return table(counts.groupBy("shard").applyInArrow(_build_shard, _SHARD)), shards
 
@@ -149,15 +155,18 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kinds[low] == 0:
                 row = part.slice(len(part) - 1).to_pylist()[0]
                 get = lambda name, kind: np.frombuffer(row[name], kind)
-                now = PerfectHash(get("sizes", np.int64), get("words", np.uint64), get("rest", np.uint64)), get("prints", np.int64), get("counts", np.int32), get("keepers", np.int64), row["shard"]
+                now = PerfectHash(get("sizes", np.int64), get("words", np.uint64), get("rest", np.uint64)), get("prints", np.int64), get("counts", np.int32), get("keepers", np.int64), row["shard"], {(a, b): c for a, b, c in get("others", np.int64).reshape(-1, 3).tolist()}
                 continue
             if now is None:
                 continue  # no shard lies before these probes
-            found, prints, counts, keepers, shard = now
+            found, prints, counts, keepers, shard, others = now
             doc, h, f = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h", "f"))
             at = found.index(h.view(np.uint64))
             safe = np.maximum(at, 0)
-            drop = (part.column("shard").to_numpy() == shard) & (at >= 0) & (prints[safe] == f) & (counts[safe] > 0) & (keepers[safe] != doc)
+            here = part.column("shard").to_numpy() == shard
+            drop = here & (at >= 0) & (prints[safe] == f) & (counts[safe] > 0) & (keepers[safe] != doc)
+            if others:
+                drop |= here & np.array([others.get((a, b), d) != d for a, b, d in zip(h.tolist(), f.tolist(), doc.tolist())])
             yield pa.RecordBatch.from_pydict({"doc_id": doc[drop], "h": h[drop], "f": f[drop]})
 
 
@@ -170,22 +179,23 @@ def _runs(kinds: np.ndarray) -> list[tuple[int, int]]:
 
 def probe_lines(keys: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """(doc_id, h, f) of all lines that a document loses."""
-    # a shard has its part of all keys, and those of its own lines if they are hot
-    hot = index.agg(F.max("n_probes")).first()[0] or 0
-    salts = 1 + (keys.count() // shards + hot) // PROBES
-    blobs = index.drop("n_probes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("kind", F.lit(0))
-    probes = keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("kind", F.lit(1))
+    # a shard has its part of all keys, and those of its own lines
+    usual = keys.count() // shards
+    salts = (1 + F.floor((F.col("n_probes") + usual) / PROBES)).cast("int").alias("salts")
+    blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n_probes").withColumn("kind", F.lit(0))
+    probes = keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).join(F.broadcast(index.select("shard", salts)), "shard")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts").withColumn("kind", F.lit(1))
     both = blobs.unionByName(probes, allowMissingColumns=True)
     both = both.withColumn("part", F.xxhash64("shard", "salt"))
-    both = both.repartition("part").sortWithinPartitions("part", "kind").select("shard", "kind", "doc_id", "h", "f", "sizes", "words", "rest", "prints", "counts", "keepers")
+    both = both.repartition("part").sortWithinPartitions("part", "kind").select("shard", "kind", "doc_id", "h", "f", *_BLOBS)
     return both.mapInArrow(_probe, "doc_id long, h long, f long")
 
 
-def _rewrite(min_chars: int, digest: bool):
+def _rewrite(min_chars: int, digest: bool, lost_lines: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             kept, n, lost = [], [], []
-            for text, drops in zip(batch.column("text").to_pylist(), batch.column("_drops").to_pylist()):
+            for text, drops in zip(batch.column("text").to_pylist(), batch.column(lost_lines).to_pylist()):
                 lines = (text or "").encode().split(b"\n")
                 stay = lines
                 if drops:
@@ -194,7 +204,7 @@ def _rewrite(min_chars: int, digest: bool):
                 n.append(len(lines)), lost.append(len(lines) - len(stay))
                 new = b"\n".join(stay)
                 kept.append(hashlib.sha256(new).hexdigest() if digest else None if text is None else new.decode())
-            out = {name: batch.column(name) for name in batch.schema.names if name not in ("_drops", "text")} if not digest else {"doc_id": batch.column("doc_id")}
+            out = {name: batch.column(name) for name in batch.schema.names if name not in (lost_lines, "text")} if not digest else {"doc_id": batch.column("doc_id")}
             out |= {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())} if digest else {}
             out["kept_sha256" if digest else "text"] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_pydict(out)
@@ -202,25 +212,26 @@ def _rewrite(min_chars: int, digest: bool):
     return run
 
 
-def _with_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+def _with_drops(docs: DataFrame, name: str, min_chars: int, min_docs: int) -> DataFrame:
+    """``docs`` with the lines that each loses in a column of that name."""
     keys = table(docs.select("doc_id", "text").mapInArrow(_document_keys(min_chars), "doc_id long, h long, f long"))
     index, shards = line_index(keys, min_docs)
-    drops = probe_lines(keys, index, shards).groupBy("doc_id").agg(F.collect_set(F.struct("h", "f")).alias("_drops"))
+    drops = probe_lines(keys, index, shards).groupBy("doc_id").agg(F.collect_set(F.struct("h", "f")).alias(name))
     return docs.join(drops, "doc_id", "left")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the repeated lines taken out of ``text``; same columns and rows."""
-    names = docs.columns
-    out = _with_drops(docs, min_chars, min_docs).select(*[c for c in names if c != "text"], "text", "_drops")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("text", "_drops")) + ", text string"
-    return out.mapInArrow(_rewrite(min_chars, False), schema).select(*names)
+    names, drops = docs.columns, free_name(docs, "_drops")
+    out = _with_drops(docs, drops, min_chars, min_docs).select(*[c for c in names if c != "text"], "text", drops)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("text", drops)) + ", text string"
+    return out.mapInArrow(_rewrite(min_chars, False, drops), schema).select(*names)
 
 
 def line_digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document: doc_id, n_lines (before dropping), n_dropped, kept_sha256 of the text that is left."""
-    out = _with_drops(docs.select("doc_id", "text"), min_chars, min_docs).select("doc_id", "text", "_drops")
-    return out.mapInArrow(_rewrite(min_chars, True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    out = _with_drops(docs.select("doc_id", "text"), "_drops", min_chars, min_docs).select("doc_id", "text", "_drops")
+    return out.mapInArrow(_rewrite(min_chars, True, "_drops"), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
