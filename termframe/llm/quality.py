@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of terms hashed to TERMS columns: four characters in a row by kind (lower, upper,
-digit, space, line end, above 127, each ASCII sign by itself), whether words repeat the word before or one
-shortly before, kinds of words, the share of repeated words and the length of the text in steps. Counts are damped, weighted by
-inverse document frequency and normalised. A truncated singular value decomposition of a bounded sample of
+A text becomes counts of terms hashed to columns. WORDS columns have its words and the three-letter beginnings and
+ends of them (A-Z lower-cased). TERMS columns have its form: four characters in a row by kind (lower, upper, digit,
+space, line end, above 127, each ASCII sign by itself), whether words repeat the word before or one
+shortly before, kinds of words, the share of repeated words and the length of the text in steps. Counts are damped,
+words are scaled by LEXICAL, all are weighted by inverse document frequency and normalised. A truncated singular value decomposition of a bounded sample of
 labelled rows gives the latent space; the sample's own vectors (at most SAMPLE x RANK floats, whatever
 the input) are broadcast with it.
 
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termframe.llm.common import mix, pieces, read, span_hashes, text_bytes, word_spans
+from termframe.llm.common import free_name, mix, pieces, read, span_hashes, text_bytes, word_spans
 
 #: Labelled rows that are fitted at most (about that many, chosen by a hash of doc_id), and the model's shape.
-SAMPLE, TERMS, RANK, NEAREST, POWER = 3000, 2048, 48, 25, 8
+SAMPLE, TERMS, WORDS, RANK, NEAREST, POWER = 3000, 2048, 1024, 48, 25, 8
+#: Scale of the words' part beside the form's.
+LEXICAL = 0.35
 #: Predicted as 1 from this score.
 THRESHOLD = 0.3
 
@@ -45,7 +48,7 @@ def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def counts(texts: pa.Array) -> np.ndarray:
-    """(len(texts), TERMS) damped counts, by document normalised to a sum that doesn't grow with length."""
+    """(len(texts), TERMS + WORDS) damped counts, by document normalised to a sum that doesn't grow with length."""
     data, offsets = text_bytes(texts)
     n = len(texts)
     row = np.repeat(np.arange(n), np.diff(offsets))
@@ -62,7 +65,11 @@ def counts(texts: pa.Array) -> np.ndarray:
         add(row[3:][whole], _hashed(gram, 1)[whole])
     starts, ends = word_spans(data, offsets)
     repeats = np.zeros(n)
+    lexical = np.zeros(n * WORDS)
     if len(starts):
+        some = np.minimum(starts + 3, ends), np.maximum(ends - 3, starts)
+        for salt, a, b in ((6, starts, ends), (7, starts, some[0]), (8, some[1], ends)):
+            lexical += np.bincount(row[starts] * WORDS + _hashed(span_hashes(data, a, b), salt) % WORDS, minlength=n * WORDS)
         words, of = span_hashes(data, starts, ends), row[starts]
         for back in (1, 2, 3, 5):
             if len(words) > back:
@@ -78,12 +85,14 @@ def counts(texts: pa.Array) -> np.ndarray:
     bucket = np.floor(np.log2(size + 1)).astype(np.int64)
     np.add.at(x, (np.arange(n), _hashed(bucket.astype(np.uint64), 4)), 0.3)
     np.add.at(x, (np.arange(n), _hashed(np.ceil(repeats * 8).astype(np.uint64), 5)), 0.4)
-    return x.astype(np.float32)
+    y = lexical.reshape(n, WORDS)
+    y = LEXICAL * np.sqrt(y / np.maximum(1, y.sum(axis=1, keepdims=True)))
+    return np.concatenate((x, y), axis=1).astype(np.float32)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # (TERMS, RANK): inverse document frequency and projection
+    weights: np.ndarray  # (TERMS + WORDS, RANK): inverse document frequency and projection
     idf: np.ndarray
     vectors: np.ndarray  # labelled rows in the latent space, normalised
     labels: np.ndarray
@@ -140,25 +149,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     if not len(order):
         return Model(*[np.zeros(0, np.float32)] * 4)
-    x = np.empty((len(order), TERMS), np.float32)
+    x = np.empty((len(order), TERMS + WORDS), np.float32)
     found = rows.column("x")
     for i, j in enumerate(order.tolist()):
         x[i] = np.frombuffer(found[j].as_buffer(), np.float32)
     return Model.fit(x, rows.column("quality").to_numpy()[order])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (text, ...) with their score."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` (text, ...) with their score, which replaces a column of that ``name``."""
+    keep = [c for c in keep if c.lower() != name.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             found = shared.value.scores(batch.column("text")).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"_score": pa.array(found)})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {name: pa.array(found)})
 
     docs = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.mapInArrow(run, schema + "_score double")
+    return docs.mapInArrow(run, schema + f"`{name}` double")
 
 
 def fold(parts: int) -> Column:
@@ -167,11 +177,12 @@ def fold(parts: int) -> Column:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``; same columns."""
-    return score(docs, model, docs.columns).where(F.col("_score") >= threshold).select(*docs.columns)
+    name = free_name(docs, "_score")
+    return score(docs, model, docs.columns, name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels").where(fold(5) != 0))
     out = score(docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
