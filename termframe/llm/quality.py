@@ -73,10 +73,11 @@ def counts(texts: pa.Array) -> np.ndarray:
         words, of = span_hashes(data, starts, ends), row[starts]
         for back in (1, 2, 3, 5):
             if len(words) > back:
-                same = (words[back:] == words[:-back]) & (of[back:] == of[:-back])
-                add(of[back:], _hashed(same.astype(np.uint64), 10 + back))
+                here = of[back:][of[back:] == of[:-back]]  # pairs of words within a text
+                same = (words[back:] == words[:-back])[of[back:] == of[:-back]]
+                add(here, _hashed(same.astype(np.uint64), 10 + back))
                 if back == 1:
-                    repeats = np.bincount(of[1:][same], minlength=n) / np.maximum(1, np.bincount(of, minlength=n))
+                    repeats = np.bincount(here[same], minlength=n) / np.maximum(1, np.bincount(of, minlength=n))
         shape = kind[starts] << np.uint64(16) | kind[ends - 1] << np.uint64(8) | np.minimum(ends - starts, 20).astype(np.uint64)
         add(of, _hashed(shape, 3))
     x = total.reshape(n, TERMS)
