@@ -9,12 +9,12 @@ import pytest
 
 from termframe.llm import line_dedup, minhash_dedup, suffix_dedup
 
-SCHEMA = "doc_id long, text string, shard int, h string, k long, label int, part int"
+SCHEMA = "doc_id long, text string, shard int, h string, k long, label int, part int, _drops int"
 
 
 def frame(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, n, "h", n, n, n) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, n, "h", n, n, n, n) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
 
 
 def key(rows):
@@ -64,6 +64,21 @@ def test_lines_of_hot_shards(spark, monkeypatch):
     assert key(digests) == key([(i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in expected_lines(rows)])
 
 
+def test_lines_whose_hashes_agree_in_half(spark, monkeypatch):
+    whole = line_dedup._hash
+    monkeypatch.setattr(line_dedup, "_hash", lambda key: (whole(key)[0] % 2, whole(key)[1]))
+    rows = line_rows()
+    keys = [(i, *line_dedup._hash(k)) for i, t in rows if i is not None for k in {line_dedup.line_key(x) for x in (t or "").encode().split(b"\n")} if line_dedup._long_enough(k, 20)]
+    df = spark.createDataFrame(keys, "doc_id long, h long, f long")
+    index, shards = line_dedup.line_index(df, 3)
+    found = sorted(tuple(r) for r in line_dedup.probe_lines(df, index, shards).collect())
+    holders = defaultdict(set)
+    for i, *k in keys:
+        holders[tuple(k)].add(i)
+    n = Counter(tuple(k) for _, *k in keys)
+    assert found == sorted((i, *k) for i, *k in keys if n[tuple(k)] >= 3 and i != max(holders[tuple(k)])) and len(found) > 20
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from termframe.llm import bm25, decontamination, language_id, pii, quality
 
@@ -99,8 +100,11 @@ def test_language_edges(spark):
     assert model.languages == ["xx", "yy"]
     names, scores = model.predict(pa.array([*TEXTS, "alpha", "tres dos"]))
     assert names[:6] == ["und"] * 6 and names[6] in ("xx", "yy") and names[-2:] == ["yy", "xx"] and scores[-1] > 0.9
-    out = language_id.predict(frame(spark, list(enumerate(TEXTS))).withColumnRenamed("lang_pred", "other"), model, ["doc_id"])
-    assert out.count() == len(TEXTS)
+    df = frame(spark, list(enumerate(TEXTS)))
+    out = language_id.predict(df, model, df.columns)
+    assert sorted(out.columns) == sorted(df.columns) and {r["lang_pred"] for r in out.collect()} <= {"und", "xx", "yy"}
+    assert language_id.predict(df.limit(0), model, ["doc_id"]).count() == 0
+    assert model.predict(pa.array(["²½Ⅷ", "ª"]))[0][0] == "und"  # signs that count as word characters, but aren't letters
     nobody = language_id.train(rows.limit(0))
     assert nobody.predict(pa.array(["text"])) == (["und"], [0.0])
 
@@ -115,9 +119,43 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert names == [*words, "und", "und"] and min(scores[:-2]) > 0.3
 
 
+def exact_sets(rows):
+    """Each language's n-grams by the definition, without Bloom filters."""
+    fold = lambda t: re.sub(rb" +", b" ", bytes(b + 32 if 65 <= b < 91 else b if b > 96 and b < 123 or b > 127 else 32 for b in t.encode()))
+    grams = lambda t: [x[i : i + 4] for x in [fold(t)] for i in range(len(x) - 3)]
+    counts = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    counts = {x: Counter({g: n for g, n in c.items() if n >= language_id.LEAST}) for x, c in counts.items()}
+    share = lambda x, g: counts[x][g] / counts[x].total()
+    best = {g: max(share(x, g) for x in counts) for c in counts.values() for g in c}
+    return {x: {g for g in c if share(x, g) >= language_id.SHARE * best[g]} for x, c in counts.items()}, grams
+
+
+def test_filters_against_exact_sets(spark):
+    rng = random.Random(21)
+    words = {x: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for x, letters in {"aa": "abcdefé", "bb": "defghiñ", "cc": "ghijkab"}.items()}
+    rows = [(" ".join(rng.choice(w) for _ in range(80)) + rng.choice(["", ".", "\n"]), x) for x, w in words.items() for _ in range(40)]
+    sets, grams = exact_sets(rows)
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(sets) and (0 < model.rates).all() and (model.rates < 1e-4).all()
+    keys = {g: np.array([int.from_bytes(g)], np.uint64) for c in sets.values() for g in c}
+    for g, k in keys.items():
+        bits = int(np.bitwise_and.reduce([model.slots[at, 0] for at in language_id._slots(k)])[0])
+        assert {x for i, x in enumerate(model.languages) if bits >> i & 1} >= {x for x in sets if g in sets[x]}
+    texts = [" ".join(rng.choice(words[rng.choice(list(words))]) for _ in range(30)) for _ in range(50)]
+    names, scores = model.predict(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        exact = {x: sum(g in sets[x] for g in grams(text)) for x in sets}
+        assert exact[name] >= max(exact.values()) - 1 and abs(score - exact[name] / sum(exact.values())) < 0.01
+
+
 def test_false_positives_are_corrected():
-    keys = np.arange(1, 60_000, dtype=np.uint32)
-    model = language_id.Model.of({"a": (keys, np.full(len(keys), 9)), "b": (keys[:100], np.full(100, 9))}, {"a": 1, "b": 1})
+    slots = np.zeros((language_id.SLOTS, 1), np.uint8)
+    for bit, keys in ((1, np.arange(1, 60_000, dtype=np.uint64)), (2, np.arange(1, 100, dtype=np.uint64))):
+        for at in language_id._slots(keys):
+            slots[at, 0] |= np.uint8(bit)
+    model = language_id.Model.of(["a", "b"], slots, {"a": 1, "b": 1})
     assert model.rates[0] > 0.003 > model.rates[1]
 
 
@@ -138,10 +176,30 @@ def test_quality_edges(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0), (None, 1), (4, None), (99, 1)], "doc_id long, quality int")
     model = quality.train(df, labels)
     assert len(model.labels) == 3
-    out = quality.score(df.drop("score"), model, ["doc_id", "text"]).collect()
-    assert len(out) == len(TEXTS) + 2 and all(0 <= r["_score"] <= 1 for r in out)
-    assert quality.keep_good(df, model).columns == df.columns
-    assert {r["_score"] for r in quality.score(df, quality.train(df, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
+    df = df.withColumn("_score", F.lit("own"))
+    out = quality.score(df, model, df.columns)
+    assert sorted(out.columns) == sorted(df.columns)
+    assert out.count() == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 and r["_score"] == "own" for r in out.collect())
+    kept = quality.keep_good(df, model)
+    assert kept.columns == df.columns and {r["_score"] for r in kept.collect()} <= {"own"} and {r["score"] for r in kept.collect()} <= {0.5}
+    assert quality.score(df.limit(0), model, ["doc_id"]).count() == 0 == quality.keep_good(df.limit(0), model).count()
+    assert {r["score"] for r in quality.score(df, quality.train(df, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
+    assert {r["score"] for r in quality.score(df, quality.train(df.limit(0), labels), ["doc_id"]).collect()} == {0.5}
+
+
+def test_votes_against_exact_cosines():
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdeABC1!é") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60)))
+    known, labels = [text() for _ in range(90)], np.array([rng.randrange(2) for _ in range(90)])
+    model = quality.Model.fit(quality.counts(pa.array(known)), labels)
+    others = [text() for _ in range(40)] + ["", known[3]]
+    found = model.scores(pa.array(others))
+    unit = lambda x: x / max(1e-9, math.sqrt(sum(v * v for v in x)))
+    for t, score in zip(others, found):
+        x = unit(unit(quality.counts(pa.array([t]))[0].astype(float) * model.idf) @ model.weights.astype(float))
+        near = sorted(((float(sum(a * b for a, b in zip(x, v))), y) for v, y in zip(model.vectors.astype(float), labels)), reverse=True)
+        votes = [(max(c, 1e-3) ** quality.POWER, y) for c, y in near[: quality.NEAREST]]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
 
 
 # --- benchmarks
@@ -182,6 +240,46 @@ def test_contamination(spark):
     assert decontamination.contaminations(df, benchmark.limit(0)).count() == 0
 
 
+def test_contamination_against_all_windows(spark):
+    """Every document's every substring against every item, by the exact distance; passages have as many edits as are
+    allowed, or one more."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 5])))
+    items = [(i, [word() for _ in range(rng.choice([1, 3, 7, 8, 9, 14, 15, 30, 60]))]) for i in range(30)]
+    rows = []
+    for d in range(200):
+        n, own = rng.choice(items)[1], None
+        own = list(n)
+        for _ in range(decontamination.allowed(len(own)) + d % 2):
+            j = rng.randrange(len(own) or 1)
+            own[j : j + 1] = rng.choice([[], [word()], [*own[j : j + 1], word()]])
+        rows.append((d, [word() for _ in range(rng.randrange(40))] + own + [word() for _ in range(rng.randrange(40))]))
+    rows.append((999, [word() for _ in range(60_000)] + items[4][1] + ["end"]))
+    number = {w: i for i, w in enumerate({w for _, x in items + rows for w in x})}
+    coded = lambda x: np.array([number[w] for w in x], np.uint64)
+    expected = {(d, i) for d, x in rows for i, y in items if (d < 999 or i == 4) and decontamination.distance(coded(y), coded(x))[0] <= decontamination.allowed(len(y))}
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    found = decontamination.contaminations(frame(spark, [(d, " ".join(x)) for d, x in rows]), benchmark).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in found if r["doc_id"] < 999 or r["item_id"] == 4}
+    assert found <= expected and len(found) >= 0.98 * len(expected) > 100 and (999, 4) in found
+
+
+def test_keys_find_items_and_little_else():
+    rng = np.random.default_rng(3)
+    for n in (8, 12, 25, 60):
+        item = rng.integers(0, 2**63, n, dtype=np.uint64)
+        near = []
+        for _ in range(100):
+            x = item.tolist()
+            for _ in range(decontamination.allowed(n)):
+                j = rng.integers(len(x))
+                x[j : j + 1] = [[], [int(rng.integers(2**40))], [x[j], int(rng.integers(2**40))]][rng.integers(3)]
+            near.append([*x, *range(1, n)][:n])
+        own = decontamination.walk(item[None], n)
+        share = lambda rows: (decontamination.walk(np.array(rows, np.uint64), n) == own).any(axis=1).mean()
+        assert share(near) >= 0.98 and share(rng.integers(0, 2**63, (300, n), dtype=np.uint64)) <= 0.02
+
+
 def test_edit_distance_of_the_best_place():
     rng = random.Random(8)
     for _ in range(100):
