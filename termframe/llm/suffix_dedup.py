@@ -35,7 +35,9 @@ texts, but one document; doc_id may be null. Texts under LENGTH bytes are kept w
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,16 +171,6 @@ class Stretch:
         self.rank = np.empty(self.n, np.int64)
         self.rank[self.order] = np.arange(self.n)
         self.left = np.array([0, *(agree(before[i], before[j]) for i, j in zip(self.order, self.order[1:]))])
-        self.least = [np.array(self.prefixes)]  # of 2 ** i neighbours' common prefixes from a place on
-        while 2 ** len(self.least) < self.n:
-            x, step = self.least[-1], 2 ** (len(self.least) - 1)
-            self.least.append(np.minimum(x[:-step], x[step:]))
-
-    def common(self, first: int, last: int) -> int:
-        """Bytes that all anchors from the first to the last of these places agree on."""
-        i = (last - first).bit_length() - 1
-        x = self.least[i]
-        return int(min(x[first + 1], x[last + 1 - 2**i]))
 
     def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each common-prefix interval, inner ones first: its depth, its members in the order of the texts
@@ -187,17 +179,45 @@ class Stretch:
             ranks = np.sort(self.rank[first:end])
             yield depth, self.order[ranks], np.minimum.reduceat(self.left[: ranks[-1] + 1], ranks[:-1] + 1)
 
-    def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, list[int]]]:
-        """(L, R, members): all anchors that agree on L bytes before and R bytes after, L + R >= least, for each
-        group that a further byte on either side would make smaller."""
+    def maximal_repeats(self, least: int, owners: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, list[int], list[int]]]:
+        """(L, R, members, fresh, shared): all anchors that agree on L bytes before and R bytes after, L + R >= least,
+        for each group that a further byte on either side would make smaller. A repeat within others is left
+        out if it adds nothing to any member: ``fresh`` are the members that it covers bytes of which no
+        repeat before did, ``shared`` those of which no repeat before with several ``owners`` did."""
+        most = np.full((2, self.n), -1)
         for depth, members, left in self.nodes():
-            if depth + left.max() >= least:
-                for shared, a, b in intervals([0, *left.tolist()]):
-                    group = members[a:b]
-                    if shared + depth >= least and self.common(int(group.min()), int(group.max())) == depth:
-                        yield shared, depth, group.tolist()  # no byte after extends all of them, either
-            if depth >= least and not left.all():  # some differ in the byte before: no byte extends all to the left
-                yield 0, depth, members.tolist()
+            longest = np.maximum(np.append(left, 0), np.insert(left, 0, 0))
+            if not ((longest + depth >= least) & (longest > most[:, members].min(axis=0))).any():
+                continue
+            for shared, a, b, alone, together in _innermost(left.tolist(), owners[members]):
+                if shared + depth < least:
+                    continue
+                new = []
+                for reach, some in zip(most, (members[alone], members[together])):
+                    some = some[reach[some] < shared]
+                    reach[some] = shared
+                    new.append(some.tolist())
+                if new[0] or new[1]:
+                    yield shared, depth, members[a:b], *new
+
+
+def _innermost(left: list[int], owners: np.ndarray) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+    """The tree of common-prefix intervals of neighbours that agree on ``left`` bytes, the whole included: (depth,
+    first, after the last, places that no inner one holds, places that no inner one with several owners holds)."""
+    n, seen = len(left) + 1, 0
+    waiting: tuple[list[int], list[int]] = ([], [])
+    for shared, a, b in itertools.chain(intervals([0, *left]), [(0, 0, n)]):
+        for places in waiting:
+            places += range(seen, b)
+        seen = max(seen, b)
+        several = owners[a:b].min() != owners[a:b].max()
+        taken = []
+        for places, wanted in zip(waiting, (True, several)):
+            first = bisect.bisect_left(places, a) if wanted else len(places)
+            taken.append(places[first:])
+            del places[first:]
+        if taken[0] or taken[1]:
+            yield shared, a, b, *taken
 
 
 _SPAN = "doc_id long, k long, low int, high int, kind int"
@@ -227,27 +247,27 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _spans(_stretch(held))
 
 
-def _repeats(before: list[bytes], after: list[bytes]) -> Iterator[tuple[int, int, list[int]]]:
-    """The maximal repeats of a stretch; most have two members only."""
+def _repeats(before: list[bytes], after: list[bytes], owners: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(L, R, fresh, shared) of a stretch's maximal repeats; most have two members only."""
     if len(after) > 2:
-        yield from Stretch(before, after).maximal_repeats(LEAST)
+        for left, right, _, fresh, shared in Stretch(before, after).maximal_repeats(LEAST, owners):
+            yield left, right, fresh, shared
     elif len(after) == 2:
         left, right = agree(*before), agree(*after)
         if left + right >= LEAST:
-            yield left, right, [0, 1]
+            yield left, right, [0, 1], [0, 1] if owners[0] != owners[1] else []
 
 
 def _stretch(rows: list[tuple]) -> list[tuple]:
     rows = sorted(rows, key=lambda r: r[7][r[6] :])  # the suffix array of this gram's anchors
+    numbers: dict[tuple, int] = {}  # of documents; a context of several documents counts as one of its own
+    owners = np.array([numbers.setdefault(r[3:5] if not r[2] else (None, i), len(numbers)) for i, r in enumerate(rows)])
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for left, right, members in _repeats([r[7][: r[6]][::-1] for r in rows], [r[7][r[6] :] for r in rows]):
-        some = [rows[i] for i in members]
-        shared = SHARED if any(r[2] for r in some) or len({r[3:5] for r in some}) > 1 else 0
-        for i, (_, once, _, _, _, pos, _, _) in zip(members, some):
-            # a context that stands twice is covered as a whole already
-            kind = shared | (REPEATED if once and left + right >= LENGTH else 0)
-            if kind:
-                found.setdefault((i, kind), []).append((pos - left, pos + right))
+    for left, right, fresh, shared in _repeats([r[7][: r[6]][::-1] for r in rows], [r[7][r[6] :] for r in rows], owners):
+        # a context that stands twice is covered as a whole already
+        for kind, some in ((REPEATED, [i for i in fresh if rows[i][1]] if left + right >= LENGTH else []), (SHARED, shared)):
+            for i in some:
+                found.setdefault((i, kind), []).append((rows[i][5] - left, rows[i][5] + right))
     return [(*rows[i][3:5], low, high, kind) for (i, kind), spans in found.items() for low, high in _united(sorted(spans))]
 
 

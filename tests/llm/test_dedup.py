@@ -288,14 +288,18 @@ def test_maximal_repeats():
             left, right = agree(before[i], before[j]), agree(after[i], after[j])
             if left + right >= least and right:
                 expected.add((left, right, tuple(k for k in range(len(rows)) if agree(before[k], before[i]) >= left and agree(after[k], after[i]) >= right)))
-        stretch = suffix_dedup.Stretch(before, after)
-        groups = {(a, b, tuple(sorted(m))) for a, b, m in stretch.maximal_repeats(least)}
-        assert groups <= expected
+        owners = np.array([rng.randrange(4) for _ in rows])
+        cover, mine, several, shared = (defaultdict(set) for _ in range(4))
+        for a, b, m, fresh, others in suffix_dedup.Stretch(before, after).maximal_repeats(least, owners):
+            assert (a, b, tuple(sorted(m.tolist()))) in expected | {(a, b, tuple(range(len(rows))))} and {*fresh, *others} <= {*m.tolist()}
+            for i in fresh:
+                mine[i] |= set(range(-a, b))
+            for i in others:
+                assert len({*owners[m]}) > 1
+                shared[i] |= set(range(-a, b))
         for a, b, m in expected:
-            assert any(a2 >= a and b2 >= b and {*m} <= {*m2} for a2, b2, m2 in groups)
-        cover, mine = defaultdict(set), defaultdict(set)
-        for groups, out in ((expected, cover), (groups, mine)):
-            for a, b, m in groups:
-                for i in m:
-                    out[i] |= set(range(-a, b))
-        assert cover == mine
+            for i in m:
+                cover[i] |= set(range(-a, b))
+                several[i] |= set(range(-a, b)) if len({owners[j] for j in m}) > 1 else set()
+        plain = lambda x: {i: k for i, k in x.items() if k}
+        assert plain(mine) == plain(cover) and plain(shared) == plain(several)
