@@ -2,17 +2,19 @@
 
 Base spans are regular expressions with validators (see ``op2_pii``'s contract); they always stay. Generators
 of high recall propose further spans that may overlap: anything around an ``@`` or ``(at)``, any four numbers
-with dots, any long run of digits with separators, any dialled-looking number. Boosted trees score each
-proposal by its format (digits, separators, a leading plus) and its context (the characters and the words
-before it); a proposal of which no base span covers a part is added if its score reaches its kind's
-threshold.
-
-Training is positive-unlabelled: proposals that pass a base validator are positive, the rest unlabelled;
-the validators' own outcomes (checksum, ranges) are no features. All features have a few values, so the
-whole corpus is one aggregation to a table of at most ``CELLS`` rows (kind x features x fold: positives and
-all), which is all that reaches the driver. Trees of two levels are grown on it by Newton boosting. A fifth of
-the documents (by hash) sets the thresholds: the least score from which on at least PRECISION of the kind's
-proposals are positive, of at least EVIDENCE proposals; otherwise nothing of that kind is added.
+with dots or ``[.]``, any long run of digits with separators, any dialled-looking number, and, as a kind of its own
+(secret), any long run of letters and digits. Boosted trees score each proposal by its format (digits, letters,
+separators, marks, a leading plus) and its context (the characters and the words before it); a proposal of
+which no base span covers a part is added if its score reaches its kind's threshold.
+
+Labels don't come from the base rules' own outcome. Positive are base spans in disguise, in the context in which they were
+found: addresses with ``(at)`` or ``[dot]``, numbers with ``[.]``, cards in groups by dots or wide gaps, phone numbers without
+their plus. Unlabelled are the proposals of the corpus that no base span covers: lists of numbers, dates, ids, words with
+digits and what is to be found. A secret is positive if it is assigned to a name like token, key or password; words before it
+are no feature then. All features have a few values, so the whole corpus is one aggregation to a table of at most ``CELLS`` rows
+(kind x features x fold: positives and all), which is all that reaches the driver. Trees of two levels are grown on it
+by Newton boosting. Half of the documents (by hash) set the thresholds: the least score from which on at least
+PRECISION of the kind's proposals are positive, of at least EVIDENCE proposals; otherwise nothing of that kind is added.
 
 The trees become CASE expressions, so scoring stays in the JVM. Positions come from splitting a text at
 its matches and summing lengths, in one pass; patterns are possessive and start only where a run of
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from termframe.llm.common import read
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans: base kinds, and one that no base pattern has.
+ALL_KINDS = (*KINDS, "secret")
 #: The base patterns, written so that they match the same spans without backtracking.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -45,15 +49,21 @@ PROPOSALS = (
     (0, r"(?<![^\s@<>(),;:\"])[^\s@<>(),;:\"]++@[^\s@<>(),;:\"]++", True),
     (0, r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++", True),
     (1, r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3}+", False),
+    (1, r"(?<![0-9.\]])[0-9]++(?:\[\.\][0-9]++){3}+", True),
     (2, r"(?<![0-9])[0-9](?:[ .-]?[0-9]){11,}+", False),
     (3, r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,17}+", False),
+    (4, r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}+[0-9])[A-Za-z0-9_+/-]{20,}+", True),
 )
+#: What a text must have for a generator that looks at the whole of it, by the generator's place.
+HINTS = {0: "@", 1: r"(?i)[\[(]at[\])]", 3: r"\[\.\]", 6: "[A-Za-z0-9_+/-]{20}"}
+#: What a secret is assigned to.
+ASSIGNED = r"(?i)(?:token|secret|key|passw[a-z]*|pwd|auth[a-z]*)[\"' ]*[:=][\"' ]*$"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 WORDS = ("", "phone|tel|call|fax|mobile", "card|visa|credit|debit|pay", "mail|contact|write", "host|server|addr|network| ip", "token|key|secret|hash|sha|id")
-FEATURES = {"digits": 6, "separators": 4, "before": 4, "word": len(WORDS), "plus": 2}
+FEATURES = {"digits": 6, "separators": 4, "before": 4, "word": len(WORDS), "plus": 2, "mark": 4, "letters": 4}
 #: Rows of the training table at most.
-CELLS = len(KINDS) * int(np.prod(list(FEATURES.values()))) * 2
-TREES, RATE, PRECISION, EVIDENCE = 40, 0.3, 0.995, 50
+CELLS = len(ALL_KINDS) * int(np.prod(list(FEATURES.values()))) * 2
+TREES, RATE, PRECISION, EVIDENCE = 40, 0.3, 0.995, 30
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -102,7 +112,6 @@ def valid(kind: int, v: Column) -> Column:
     return (n >= 8) & (n <= 15)
 
 
-_FULL = (r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$", r"^[0-9]++(?:\.[0-9]++){3}+$", r"^[0-9]++(?:[ -][0-9]++)*+$", r"^\+[0-9][ ().0-9-]+[0-9]$")
 _SPANS = "array<struct<s:int,e:int,v:string,b:string>>"
 
 
@@ -118,9 +127,8 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     base = [F.col("_pii_mails"), *(F.filter(_within(regions, p), valid_of(k)) for k, p in ((1, IP), (2, CARD), (3, PHONE)))]
     of_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["b"].alias("b"))
     proposed = []
-    for kind, pattern, whole in PROPOSALS:
-        hint = "@" if pattern.count("@") > 2 else "(?i)[\\[(]at[\\])]"
-        found = F.when(text.rlike(hint), located(text, pattern)).otherwise(none) if whole else _within(regions, pattern)
+    for i, (kind, pattern, whole) in enumerate(PROPOSALS):
+        found = F.when(text.rlike(HINTS[i]), located(text, pattern)).otherwise(none) if whole else _within(regions, pattern)
         proposed.append(F.transform(found, of_kind(kind)))
     docs = docs.withColumn("_pii_base", F.array(*[F.coalesce(x, none) for x in base])).withColumn("_pii_proposed", F.concat(*proposed))
     return docs.drop("_pii_regions", "_pii_mails")
@@ -136,7 +144,21 @@ def features(x: Column) -> dict[str, Column]:
     word = F.lit(0)
     for i in range(len(WORDS) - 1, 0, -1):
         word = F.when(before.rlike(WORDS[i]), i).otherwise(word)
-    return {"digits": steps, "separators": kinds, "before": near, "word": word, "plus": v.startswith("+").cast("int")}
+    mark = F.when(v.rlike(r"\[\.\]"), 3).when(v.rlike(r"(?i)[\[(](?:at|dot)[\])]"), 2).when(F.contains(v, F.lit("@")), 1).otherwise(0)
+    letters = F.when(~v.rlike("[A-Za-z]"), 0).when(v.rlike("^[0-9a-fA-F]+$"), 1).when(v.rlike("^[0-9A-Za-z]+$"), 2).otherwise(3)
+    word = F.when(x["k"] == 4, 0).otherwise(word)
+    return {"digits": steps, "separators": kinds, "before": near, "word": word, "plus": v.startswith("+").cast("int"), "mark": mark, "letters": letters}
+
+
+def disguised(kind: int, v: Column) -> list[Column]:
+    """Forms of a base span's text that the base pattern doesn't find."""
+    if kind == 0:
+        return [F.regexp_replace(v, "@", " (at) "), F.regexp_replace(F.regexp_replace(v, "@", "[at]"), r"\.", "[dot]")]
+    if kind == 1:
+        return [F.regexp_replace(v, r"\.", "[.]")]
+    if kind == 2:
+        return [F.regexp_replace(_digits(v), "([0-9]{4})(?=[0-9])", f"$1{gap}") for gap in (".", " - ")]
+    return [F.regexp_replace(v, r"^\+", ""), F.regexp_replace(v, r"^\+", "00")]
 
 
 @dataclass
@@ -190,7 +212,7 @@ class Trees:
         return model
 
     def calibrate(self, kind: np.ndarray, margin: np.ndarray, positive: np.ndarray, every: np.ndarray) -> None:
-        for k in range(len(KINDS)):
+        for k in range(len(ALL_KINDS)):
             rows = np.flatnonzero(kind == k)
             rows = rows[np.argsort(-margin[rows], kind="stable")]
             good, seen = np.cumsum(positive[rows]), np.cumsum(every[rows])
@@ -200,17 +222,24 @@ class Trees:
                 self.thresholds[k] = float(margin[rows[fit[-1]]])
 
 
+def _free(x: Column) -> Column:
+    """Whether no base span covers a part."""
+    return ~F.exists(F.flatten(F.col("_pii_base")), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+
+
 def train(docs: DataFrame) -> Trees:
     """From all documents (doc_id, text)."""
-    rows = with_candidates(docs.select("doc_id", "text")).select("doc_id", F.explode("_pii_proposed").alias("x"))
-    x = F.col("x")
-    label = F.lit(False)
+    row = lambda k, v, b, y: F.struct(k.cast("int").alias("k"), v.alias("v"), b.alias("b"), y.cast("int").alias("y"))
+    examples = [F.transform(F.filter("_pii_proposed", _free), lambda x: row(x["k"], x["v"], x["b"], (x["k"] == 4) & x["b"].rlike(ASSIGNED)))]
+    forms = lambda k: lambda x: F.array(*[row(F.lit(k), v, x["b"], F.lit(1)) for v in disguised(k, x["v"])])
     for k in range(len(KINDS)):
-        label = F.when(x["k"] == k, x["v"].rlike(_FULL[k]) & valid(k, x["v"])).otherwise(label)
-    cells = rows.select(x["k"].alias("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), label.cast("int").alias("y"), *[c.alias(n) for n, c in features(x).items()])
-    cells = cells.withColumn("fold", (F.col("fold") == 0).cast("int")).groupBy("kind", "fold", *FEATURES).agg(F.sum("y").alias("positive"), F.count("*").alias("every")).collect()
+        examples.append(F.flatten(F.transform(F.col("_pii_base")[k], forms(k))))
+    x = F.col("x")
+    rows = with_candidates(docs.select("doc_id", "text")).select("doc_id", F.explode(F.concat(*examples)).alias("x"))
+    cells = rows.select(x["k"].alias("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"), x["y"].alias("y"), *[c.alias(n) for n, c in features(x).items()])
+    cells = cells.groupBy("kind", "fold", *FEATURES).agg(F.sum("y").alias("positive"), F.count("*").alias("every")).collect()
     column = lambda name: np.array([r[name] for r in cells], np.int64)
-    sizes = {"kind": len(KINDS)} | FEATURES
+    sizes = {"kind": len(ALL_KINDS)} | FEATURES
     found = {name: column(name) for name in sizes}
     fold, positive, every = column("fold"), column("positive").astype(float), column("every").astype(float)
     part = lambda rows: ({k: v[rows] for k, v in found.items()}, positive[rows], every[rows])
@@ -231,15 +260,14 @@ def spans(docs: DataFrame, model: Trees) -> DataFrame:
         score = model.expression({"kind": x["k"]} | features(x))
         for k, least in model.thresholds.items():
             ok = ok | ((x["k"] == k) & (score >= least))
-        free = ~F.exists(F.flatten(F.col("_pii_base")), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-        return free & ok
+        return _free(x) & ok
 
     added = F.filter("_pii_proposed", wanted) if model.thresholds else F.filter("_pii_proposed", lambda x: F.lit(False))
     return docs.withColumn("_pii_added", F.array_distinct(F.array_sort(added))).drop("_pii_proposed")
 
 
 def _listed(k: int, found: Column) -> Column:
-    return F.transform(found, lambda x: F.concat_ws(":", F.lit(KINDS[k]), x["s"], x["e"]))
+    return F.transform(found, lambda x: F.concat_ws(":", F.lit(ALL_KINDS[k]), x["s"], x["e"]))
 
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
@@ -249,7 +277,7 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
     out = spans(docs, model)
     named = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS[k]).alias("k"))
     marked = [F.transform(F.col("_pii_base")[k], named(k)) for k in range(len(KINDS))]
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, ALL_KINDS))
     marked.append(F.transform("_pii_added", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(kinds, x["k"]).alias("k"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
@@ -262,18 +290,19 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def span_digests(docs: DataFrame, model: Trees) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind by kind), n_added and
+    n_spans (how many were added, and how many there are)."""
     out = spans(docs.select("doc_id", "text"), model)
     base = [F.col("_pii_base")[k] for k in range(len(KINDS))]
     is_kind = lambda k: lambda x: x["k"] == k
     every = []
-    for k in range(len(KINDS)):
-        own = F.transform(base[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    for k in range(len(ALL_KINDS)):
+        own = F.transform(base[k] if k < len(KINDS) else F.array().cast(_SPANS), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
         new = F.transform(F.filter("_pii_added", is_kind(k)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
         every.append(_listed(k, F.array_sort(F.concat(own, new))))
     listed = F.array_join(F.concat(*[_listed(k, base[k]) for k in range(len(KINDS))]), ",")
     counts = [F.size(base[k]).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(KINDS))]
-    return out.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"), F.size("_pii_added").cast("long").alias("n_added"))
+    return out.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"), F.size("_pii_added").cast("long").alias("n_added"), (F.size(F.flatten(F.col("_pii_base"))) + F.size("_pii_added")).cast("long").alias("n_spans"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

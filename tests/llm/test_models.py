@@ -67,20 +67,25 @@ def test_base_spans(spark):
 
 
 def test_trees_and_added_spans(spark):
-    """Numbers of 16 digits after "card" are cards, with one of a hundred mistyped: that one is added."""
+    """Disguised addresses, phone numbers without a plus beside "tel" and assigned secrets are found among numbers, dates,
+    hashes of files and words; the base spans stay as they are."""
     def card(i):
         body = f"411111{i:09d}"
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
-    rows = [(i, f"my card {card(i)} ok") for i in range(1500)] + [(2000 + i, f"sum 9{i:014d} {i}") for i in range(400)]
-    wrong = card(7)[:-1] + str((int(card(7)[-1]) + 1) % 10)
-    df = frame(spark, [*rows, (5000, f"my card {wrong} ok"), (5001, "nothing 12")])
+    rows = [(i, f"mail a.b{i}@mail.example.com or tel +1 (555) 01{i % 10}-{1000 + i} and card {card(i)}, host 10.0.{i % 9}.{i % 250}; api_key = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"") for i in range(400)]
+    rows += [(1000 + i, f"sum 9{i:014d} of {i} on 2024-05-{i % 28 + 1:02d}, build long-word-with-a-{i}-in-it-and-more v1.2.{i}, row 12345{i:05d}") for i in range(400)]
+    hidden = [(5000, "write to jo.do (at) some.org now"), (5001, "tel 1 (555) 010-4242 now"), (5002, "host 10[.]1[.]2[.]3 up"), (5003, "x = \"da39a3ee5e6b4b0d3255bfef95601890afd80709\""), (5004, "nothing 12"), (5005, None)]
+    df = frame(spark, rows + hidden)
     model = pii.train(df)
-    assert 2 in model.thresholds and 3 not in model.thresholds
-    found = {r["doc_id"]: r for r in pii.span_digests(df, model).collect()}
-    assert found[5000]["n_card"] == 0 and found[5000]["spans"] == "card:8:24"
-    assert sum(r["n_added"] for r in found.values()) == 1
-    assert {r["doc_id"]: r["text"] for r in pii.redact(df, model).where("doc_id IN (0, 5000, 5001)").collect()} == {0: "my card [card] ok", 5000: "my card [card] ok", 5001: "nothing 12"}
+    assert {0, 1, 3, 4} <= {*model.thresholds}
+    out = pii.span_digests(df, model)
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert [found[i]["spans"] for i in range(5000, 5006)] == ["email:9:28", "phone:4:20", "ip:5:18", "secret:5:45", "", ""]
+    assert all(found[i]["n_added"] == 1 and found[i]["spans"].count("secret") == 1 and found[i]["n_spans"] == 5 for i in range(400))
+    assert sum(r["n_added"] for i, r in found.items() if 1000 <= i < 1400) == 0
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(df, model).where("doc_id >= 5000").collect()}
+    assert redacted == {5000: "write to [email] now", 5001: "tel [phone] now", 5002: "host [ip] up", 5003: "x = \"[secret]\"", 5004: "nothing 12", 5005: None}
 
 
 # --- languages
