@@ -21,8 +21,9 @@ for some 80 bytes of text.
    all its occurrences. Those of L + R >= LEAST give the spans. An anchor is in as many nested
    intervals as there are depths from GRAM to LENGTH at most, so work grows with the stretch, not its square.
 4. A gram with over STRETCH contexts would be an unbounded stretch. Its contexts are hashed instead, exactly: in
-   LEVELS cores of the length less 47 bytes, then, where a core stands twice, the core with its 47 bytes on either
-   side (equal: all its strings are repeated), else each of its 48 strings. Only counts are grouped.
+   LEVELS cores of the length less STEP - 1 bytes, then, where a core stands twice, the core with these bytes on
+   either side (equal: all its strings are repeated), else each of its STEP strings. Only counts are grouped,
+   and only hashes are shuffled.
 5. The covered intervals return to the documents, are united and cut out.
 
 ``n_passages`` counts a document's maximal runs of repeats of LEAST bytes that another document also holds and
@@ -56,7 +57,7 @@ PASSAGE_WORDS = 50
 REPEATED, SHARED = 1, 2
 #: Contexts of a gram that are sorted in one task: about 20 MB of text.
 STRETCH = 32_768
-STEP = 48
+STEP = 8
 LEVELS = range(0, WINDOW, STEP)
 _BYTE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -281,40 +282,41 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cores(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per context and level: hashes of the core and of all that its strings of ``length`` cover."""
-        for batch in batches:
-            ids, level, core, whole = [], [], [], []
-            for i, (before, text) in enumerate(zip(batch.column("before").to_pylist(), batch.column("text").to_pylist())):
+_PLACE = ("g", "once", "many", "doc_id", "k", "pos")
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per context, length (LENGTH, LEAST) and level: hashes of the core and of all that its strings cover, low to high."""
+    for batch in batches:
+        ids, rows = [], []
+        for i, (before, text, pos) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "text", "pos")])):
+            for length in (LENGTH, LEAST):
                 for l in LEVELS:
                     last = min(l + STEP - 1, WINDOW - 1)  # strings start l to last bytes before the anchor
                     if before < l or len(text) < before + length - last:
                         continue
                     a, b = max(0, before - last), min(len(text), before + length - l)
-                    ids.append(i), level.append(l)
-                    core.append(xxhash.xxh3_64_intdigest(text[before - l : before + length - last], l))
-                    whole.append(xxhash.xxh3_64_intdigest(text[a:b], (before - a) * 1000 + l))
-            index = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in _AROUND} | {"level": pa.array(level, pa.int32()), "core": as_long(np.array(core, np.uint64)), "whole": as_long(np.array(whole, np.uint64))})
-
-    return run
+                    ids.append(i)
+                    rows.append((length, l, xxhash.xxh3_64_intdigest(text[before - l : before + length - last], l), xxhash.xxh3_64_intdigest(text[a:b], (before - a) * 1000 + l), pos - before + a, pos - before + b))
+        index, found = pa.array(ids, pa.int64()), np.array(rows, np.uint64).reshape(-1, 6)
+        small = lambda j: pa.array(found[:, j].view(np.int64).astype(np.int32))
+        yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in _PLACE} | {"length": small(0), "level": small(1), "core": as_long(found[:, 2]), "whole": as_long(found[:, 3]), "low": small(4), "high": small(5)})
 
 
-def _strings(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per context and level: the hash of each string of ``length`` bytes."""
-        for batch in batches:
-            ids, start, digest = [], [], []
-            for i, (before, text, l, pos) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "text", "level", "pos")])):
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each string of the wanted lengths and levels."""
+    for batch in batches:
+        ids, rows, flags = [], [], []
+        for i, (before, text, pos, wanted) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("before", "text", "pos", "wanted")])):
+            for x in wanted:
+                length, l = x["length"], x["level"]
                 for d in range(l, min(l + STEP, WINDOW, before + 1)):
                     if len(text) >= before - d + length:
-                        ids.append(i), start.append(pos - d)
-                        digest.append(xxhash.xxh3_64_intdigest(text[before - d : before - d + length], d))
-            index = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(index) for c in ("g", "once", "many", "doc_id", "k")} | {"low": pa.array(start, pa.int32()), "digest": as_long(np.array(digest, np.uint64))})
-
-    return run
+                        ids.append(i), flags.append((x["once"], x["many"]))
+                        rows.append((length, pos - d, xxhash.xxh3_64_intdigest(text[before - d : before - d + length], d)))
+        index, found = pa.array(ids, pa.int64()), np.array(rows, np.uint64).reshape(-1, 3)
+        small = lambda j: pa.array(found[:, j].view(np.int64).astype(np.int32))
+        yield pa.RecordBatch.from_pydict({"g": batch.column("g").take(index), "once": pa.array([a for a, _ in flags], pa.bool_()), "many": pa.array([b for _, b in flags], pa.bool_())} | {c: batch.column(c).take(index) for c in ("doc_id", "k")} | {"length": small(0), "low": small(1), "digest": as_long(found[:, 2])})
 
 
 def _several() -> Column:
@@ -322,29 +324,29 @@ def _several() -> Column:
     return (F.bool_or("many") | (F.min(F.struct("doc_id", "k")) != F.max(F.struct("doc_id", "k")))).alias("several")
 
 
-def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The repeated spans (``length`` LENGTH) or shared spans (LEAST) of contexts whose gram has too many to sort in
-    one task: by counts of hashes."""
-    repeated = length == LENGTH
-    wanted = F.col("once") if repeated else F.lit(True)
-    kind = F.lit(REPEATED if repeated else SHARED).alias("kind")
-    around = "g long, once boolean, many boolean, doc_id long, k long, pos int, before int, text binary"
-    cores = contexts.mapInArrow(_cores(length), around + ", level int, core long, whole long")
-    counts = table(cores.groupBy("g", "level", "core", "whole").agg(F.count("*").alias("n"), _several()))
-    both = counts.groupBy("g", "level", "core").agg(F.sum("n").alias("cores"), F.bool_or("several").alias("any")).where("cores > 1" if repeated else "cores > 1 OR any")
-    kept = counts.join(both.drop("any").hint("merge"), ["g", "level", "core"])
-    found = cores.join(kept.hint("merge"), ["g", "level", "core", "whole"])
-    last = F.least(F.col("level") + (STEP - 1), F.lit(WINDOW - 1), F.col("before"))
-    end = F.least(F.octet_length("text") - F.col("before"), length - F.col("level"))
-    settled = (F.col("n") > 1) if repeated else F.col("several")
-    whole = found.where(wanted & settled).select("doc_id", "k", (F.col("pos") - last).alias("low"), (F.col("pos") + end).alias("high"), kind)
+def hot_spans(contexts: DataFrame) -> DataFrame:
+    """The repeated and shared spans of contexts whose gram has too many to sort in one task: by counts of hashes."""
+    place = "g long, once boolean, many boolean, doc_id long, k long, "
+    cores = table(contexts.mapInArrow(_cores, place + "pos int, length int, level int, core long, whole long, low int, high int"))
+    core, repeated = ["g", "length", "level", "core"], F.col("length") == LENGTH
+    # of LENGTH bytes whatever stands twice counts, of LEAST bytes what stands in several documents
+    counts = table(cores.groupBy(*core, "whole").agg(F.count("*").alias("n"), _several()))
+    both = counts.groupBy(*core).agg(F.sum("n").alias("cores"), F.count("*").alias("kinds"), F.bool_or("several").alias("any")).where((F.col("cores") > 1) & (repeated | (F.col("kinds") > 1) | F.col("any")))
+    kept = counts.join(both.select(*core).hint("merge"), core)
+    settled = F.when(repeated, F.col("n") > 1).otherwise(F.col("several"))
+    found = table(cores.join(kept.withColumn("settled", settled).hint("merge"), [*core, "whole"]))
+    wanted, kind = F.col("once") | ~repeated, F.when(repeated, REPEATED).otherwise(SHARED).alias("kind")
+    whole = found.where(wanted & F.col("settled")).select("doc_id", "k", "low", "high", kind)
     # a core's wholly repeated representatives matter to the others as one
-    columns = ["g", "once", "many", "doc_id", "k", "pos", "before", "text", "level"]
-    single = found.where(~settled).select(*columns)
-    shared = found.where(settled).withColumn("once", F.lit(False)).withColumn("many", F.col("several")).dropDuplicates(["g", "level", "core", "whole"]).select(*columns)
-    strings = table(single.unionByName(shared).mapInArrow(_strings(length), "g long, once boolean, many boolean, doc_id long, k long, low int, digest long"))
-    twice = strings.groupBy("g", "digest").agg(F.count("*").alias("n"), _several()).where("n > 1" if repeated else "several").select("g", "digest")
-    exact = strings.where(wanted).join(twice.hint("merge"), ["g", "digest"], "left_semi").select("doc_id", "k", "low", (F.col("low") + length).alias("high"), kind)
+    columns = ["doc_id", "k", "pos", "g", "length", "level", "once", "many"]
+    mixed = found.join(both.where("kinds > 1").select(*core).hint("merge"), core, "left_semi")
+    single = mixed.where(~F.col("settled")).select(*columns)
+    shared = mixed.where("settled").withColumn("once", F.lit(False)).withColumn("many", F.col("several")).dropDuplicates([*core, "whole"]).select(*columns)
+    levels = single.unionByName(shared).groupBy("doc_id", "k", "pos", "g").agg(F.collect_list(F.struct("length", "level", "once", "many")).alias("wanted"))
+    texts = contexts.select("doc_id", "k", "pos", "g", "before", "text").join(levels.hint("merge"), ["doc_id", "k", "pos", "g"])
+    strings = table(texts.mapInArrow(_strings, place + "length int, low int, digest long"))
+    twice = strings.groupBy("g", "length", "digest").agg(F.count("*").alias("n"), _several()).where(F.when(repeated, F.col("n") > 1).otherwise(F.col("several"))).select("g", "length", "digest")
+    exact = strings.where(wanted).join(twice.hint("merge"), ["g", "length", "digest"], "left_semi").select("doc_id", "k", "low", (F.col("low") + F.col("length")).alias("high"), kind)
     return whole.unionByName(exact)
 
 
@@ -374,7 +376,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     out = sorted_.unionByName(whole)
     hot = around.where("hot").select(*_AROUND)
     if hot.limit(1).count():
-        out = out.unionByName(hot_spans(hot, LENGTH)).unionByName(hot_spans(hot, LEAST))
+        out = out.unionByName(hot_spans(hot))
     return out
 
 
