@@ -2,7 +2,13 @@
 
 Documents of low quality go; repeated lines are taken out of the rest; of each group of near duplicates (five
 words a shingle, similarity of 0.8 or more) the least doc_id stays; documents that contain a benchmark item
-go; what is left is encoded and decoded. Stages but the last return the columns of documents.
+go; what is left is encoded and decoded. Stages but the last return the columns of documents, whatever further
+ones there are.
+
+Nulls and edges: a null or empty text is scored like any other, has no lines to lose, is no near duplicate and
+contains no item; a null text stays null until it is encoded, as an empty one. Rows without doc_id lose no lines
+and are no duplicates. Of rows with one doc_id the near-duplicate stage keeps one. Of a group the least doc_id stays. Empty
+tables give no rows; without labels nothing is rejected; without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
