@@ -36,9 +36,7 @@ texts, but one document; doc_id may be null. Texts under LENGTH bytes are kept w
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +113,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         contexts = [digest(view[a:b], seed) for a, b, seed in zip(low.tolist(), high.tolist(), (at - low).tolist())]
         index = pa.array(row)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(index), "k": batch.column("k").take(index), "pos": pa.array((at - offsets[row]).astype(np.int32)), "end": pa.array((high - offsets[row]).astype(np.int32)), "g": as_long(grams), "c": as_long(np.array(contexts, np.uint64))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(index), "k": batch.column("k").take(index), "pos": pa.array((at - offsets[row]).astype(np.int32)), "tail": pa.array((high - at).astype(np.int32)), "g": as_long(grams), "c": as_long(np.array(contexts, np.uint64))})
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +176,10 @@ class Stretch:
         before them, and how many bytes neighbours in that order agree on: a least over the whole order's."""
         for depth, first, end in intervals(self.prefixes):
             ranks = np.sort(self.rank[first:end])
-            yield depth, self.order[ranks], np.minimum.reduceat(self.left[: ranks[-1] + 1], ranks[:-1] + 1)
+            if end - first == 2:
+                yield depth, self.order[ranks], self.left[ranks[0] + 1 : ranks[1] + 1].min(keepdims=True)
+            else:
+                yield depth, self.order[ranks], np.minimum.reduceat(self.left[: ranks[-1] + 1], ranks[:-1] + 1)
 
     def maximal_repeats(self, least: int, owners: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, list[int], list[int]]]:
         """(L, R, members, fresh, shared): all anchors that agree on L bytes before and R bytes after, L + R >= least,
@@ -187,38 +188,34 @@ class Stretch:
         repeat before did, ``shared`` those of which no repeat before with several ``owners`` did."""
         most = np.full((2, self.n), -1)
         for depth, members, left in self.nodes():
-            longest = np.maximum(np.append(left, 0), np.insert(left, 0, 0))
-            if not ((longest + depth >= least) & (longest > most[:, members].min(axis=0))).any():
-                continue
-            for shared, a, b, alone, together in _innermost(left.tolist(), owners[members]):
-                if shared + depth < least:
-                    continue
-                new = []
-                for reach, some in zip(most, (members[alone], members[together])):
-                    some = some[reach[some] < shared]
-                    reach[some] = shared
-                    new.append(some.tolist())
-                if new[0] or new[1]:
-                    yield shared, depth, members[a:b], *new
-
-
-def _innermost(left: list[int], owners: np.ndarray) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
-    """The tree of common-prefix intervals of neighbours that agree on ``left`` bytes, the whole included: (depth,
-    first, after the last, places that no inner one holds, places that no inner one with several owners holds)."""
-    n, seen = len(left) + 1, 0
-    waiting: tuple[list[int], list[int]] = ([], [])
-    for shared, a, b in itertools.chain(intervals([0, *left]), [(0, 0, n)]):
-        for places in waiting:
-            places += range(seen, b)
-        seen = max(seen, b)
-        several = owners[a:b].min() != owners[a:b].max()
-        taken = []
-        for places, wanted in zip(waiting, (True, several)):
-            first = bisect.bisect_left(places, a) if wanted else len(places)
-            taken.append(places[first:])
-            del places[first:]
-        if taken[0] or taken[1]:
-            yield shared, a, b, *taken
+            longest = np.maximum(np.append(left, -1), np.insert(left, 0, -1))
+            new = []
+            for reach, value in zip(most, (longest, _with_others(left, longest, owners[members]))):
+                fresh = np.flatnonzero((value + depth >= least) & (value > reach[members]))
+                reach[members[fresh]] = value[fresh]
+                new.append((fresh, value[fresh]))
+            for shared in np.unique(np.concatenate([x for _, x in new])).tolist():
+                edges = np.concatenate(([0], np.flatnonzero(left < shared) + 1, [len(members)]))  # groups that agree on so much
+                places = [fresh[x == shared] for fresh, x in new]
+                groups = [np.searchsorted(edges, x, "right") - 1 for x in places]
+                for g in np.unique(np.concatenate(groups)).tolist():
+                    yield shared, depth, members[edges[g] : edges[g + 1]], *(members[x[y == g]].tolist() for x, y in zip(places, groups))
+
+
+def _with_others(left: np.ndarray, longest: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """How many bytes each of a row of neighbours, which agree on ``left`` bytes, agrees on with one of another owner
+    (-1 if there is none)."""
+    same = owners[1:] == owners[:-1]
+    if not same.any():
+        return longest
+    out = longest.copy()
+    edges = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(owners)]))
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        if b - a > 1:  # a run of one owner: only what stands before and behind it counts
+            before = np.minimum.accumulate(left[a - 1 : b - 1]) if a else np.full(b - a, -1)
+            behind = np.minimum.accumulate(left[a:b][::-1])[::-1] if b < len(owners) else np.full(b - a, -1)
+            out[a:b] = np.maximum(before, behind)
+    return out
 
 
 _SPAN = "doc_id long, k long, low int, high int, kind int"
@@ -321,7 +318,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _several() -> Column:
     """Whether rows are of several documents, or of contexts that are."""
-    return (F.bool_or("many") | (F.min(F.struct("doc_id", "k")) != F.max(F.struct("doc_id", "k")))).alias("several")
+    return (F.bool_or("many") | (F.min("k") != F.max("k"))).alias("several")
 
 
 def hot_spans(contexts: DataFrame) -> DataFrame:
@@ -351,15 +348,14 @@ def hot_spans(contexts: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with k, which with doc_id tells documents apart: equal rows share it, and are equally cut."""
+    """``docs`` with k, a hash of doc_id and text that tells documents apart: equal rows share it, and are equally cut."""
     return docs.withColumn("k", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, k, low, high, kind): repeated and shared spans of ``docs`` (doc_id, k, text), which may overlap."""
-    every = table(docs.where(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, "doc_id long, k long, pos int, end int, g long, c long"))
-    document = F.struct("doc_id", "k")
-    counted = every.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("rep"), (F.min(document) != F.max(document)).alias("many"))
+    every = table(docs.where(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, "doc_id long, k long, pos int, tail int, g long, c long"))
+    counted = every.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "pos")).alias("rep"), (F.min("k") != F.max("k")).alias("many"))
     contexts = table(counted.select("g", "c", "n", "many", "rep.*"))
     grams = contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
     several = contexts.join(grams.hint("merge"), "g").select("doc_id", "k", F.struct("pos", "g", (F.col("n") == 1).alias("once"), "many", (F.col("m") > STRETCH).alias("hot")).alias("x"))
@@ -371,8 +367,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sorted_ = around.where("NOT hot").select(*_AROUND).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_suffixes, _SPAN)
     whole = every.join(contexts.where("n > 1").select("g", "c", "many").hint("merge"), ["g", "c"])
     low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    kind = F.when(F.col("end") - low >= LENGTH, REPEATED).otherwise(0) + F.when(F.col("many"), SHARED).otherwise(0)
-    whole = whole.select("doc_id", "k", low.alias("low"), F.col("end").alias("high"), kind.alias("kind")).where("kind > 0")
+    end = F.col("pos") + F.col("tail")
+    kind = F.when(end - low >= LENGTH, REPEATED).otherwise(0) + F.when(F.col("many"), SHARED).otherwise(0)
+    whole = whole.select("doc_id", "k", low.alias("low"), end.alias("high"), kind.alias("kind")).where("kind > 0")
     out = sorted_.unionByName(whole)
     hot = around.where("hot").select(*_AROUND)
     if hot.limit(1).count():
