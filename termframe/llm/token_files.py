@@ -62,8 +62,9 @@ class ChunkTokenizer:
     bound to what is next to them. Letters are lower-cased early, but not before a byte above 127, which
     may be a combining mark. Texts with a special token's string go to the library whole.
 
-    Chunks are known by 64-bit hashes, in two sorted arrays (a large one, and a small one for the latest)
-    with the places of their ids: some 25 bytes a chunk."""
+    Chunks are looked up by 64-bit hashes, in two sorted arrays (a large one, and a small one for the latest)
+    with the places of their ids and bytes: some 40 bytes a chunk. Bytes are compared as well; texts in which two
+    chunks of one hash differ go to the library whole."""
 
     def __init__(self, definition: str):
         self.library = Tokenizer.from_str(definition)
@@ -77,6 +78,7 @@ class ChunkTokenizer:
         none = np.zeros(0, np.int64)
         self.hashes, self.places = [np.zeros(0, np.uint64)] * 2, [none, none]
         self.first, self.sizes, self.ids = none, none, np.zeros(0, np.uint32)
+        self.start, self.length, self.bytes = none, none, np.zeros(0, np.uint8)
 
     def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Many chunks that are a word each go in one text; the ids that end a word tell them apart."""
@@ -104,6 +106,10 @@ class ChunkTokenizer:
         self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.ids = np.concatenate([self.ids, *found])
+        length = np.array([len(x) for x in chunks], np.int64)
+        self.start = np.concatenate((self.start, len(self.bytes) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(chunks), np.uint8)))
         level = 0 if len(self.hashes[1]) > RECENT else 1
         some = (self.hashes[0], self.hashes[1], hashes) if level == 0 else (self.hashes[1], hashes)
         at = (self.places[0], self.places[1], places) if level == 0 else (self.places[1], places)
@@ -123,13 +129,16 @@ class ChunkTokenizer:
                 out[hit] = places[at[hit]]
         return out
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(self.library.encode(x or "", add_special_tokens=False).ids, np.uint32) for x in texts.to_pylist()]
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, joined, and the n + 1 offsets of the texts."""
         data, offsets = text_bytes(texts)
         whole = data.tobytes()
         if any(x in whole for x in self.special):
-            each = [np.array(self.library.encode(x or "", add_special_tokens=False).ids, np.uint32) for x in texts.to_pylist()]
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+            return self._whole(texts)
         kind = _KIND[data]
         inside = kind != WHITE
         cut = np.ones(len(data) + 1, bool)  # whether a chunk can start here, or end before
@@ -151,9 +160,12 @@ class ChunkTokenizer:
         if len(self.sizes) > REMEMBERED:
             self.clear()
         place = self._find(own)
+        at = np.empty(len(own), np.int64)
+        at[code[::-1]] = np.arange(len(code))[::-1]
+        known = np.flatnonzero(place >= 0)
+        if not (_equal(lower, starts, ends - starts, lower, starts[at[code]], (ends - starts)[at[code]]) and _equal(lower, starts[at[known]], (ends - starts)[at[known]], self.bytes, self.start[place[known]], self.length[place[known]])):
+            return self._whole(texts)
         if len(new := np.flatnonzero(place < 0)):
-            at = np.empty(len(own), np.int64)
-            at[code[::-1]] = np.arange(len(code))[::-1]
             raw = lower.tobytes()
             place[new] = len(self.sizes) + np.arange(len(new))
             self._learn(own[new], [raw[starts[i] : ends[i]] for i in at[new].tolist()])
@@ -163,6 +175,14 @@ class ChunkTokenizer:
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+def _equal(x: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether the spans of ``x`` have the bytes of those of ``y``."""
+    if not np.array_equal(size, other_size):
+        return False
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((x[np.repeat(at, size) + inside] == y[np.repeat(other, size) + inside]).all())
+
+
 def skippable(magic: int, content: bytes) -> bytes:
     return magic.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyarrow import fs
 from tokenizers import Tokenizer
@@ -159,3 +160,15 @@ def test_longest_prefix_normalisation(squeeze):
     assert normalise(text.encode())[0].decode().replace("▁", " ") == library.normalize(text).replace("▁", " ")
     normal, align = normalise("xﬁy".encode())
     assert [int(align[normal.index(c)]) for c in (b"x", b"f", b"i", b"y")] == [0, 1, 1, 4]
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    definition = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    tokenizer, library = token_files.ChunkTokenizer(definition), Tokenizer.from_str(definition)
+    texts = ["one two three", "four five", "one six", ""]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for hashes in (token_files.mix, lambda x: x * np.uint64(0), lambda x: x % np.uint64(3)):
+        monkeypatch.setattr(token_files, "mix", hashes)
+        for some, ids in ((texts, expected), (texts[:1], expected[:1]), (texts[1:2], expected[1:2])):
+            found, at = tokenizer(pa.array(some))
+            assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == ids
