@@ -6,6 +6,7 @@ from termframe.llm.decontamination import op8_decontamination
 from termframe.llm.language_id import op5_language_id
 from termframe.llm.line_dedup import SQL as LINE_SQL
 from termframe.llm.line_dedup import op1_line_dedup
+from termframe.llm.minhash_dedup import SQL as NEAR_SQL
 from termframe.llm.minhash_dedup import op6_minhash_dedup
 from termframe.llm.pii import op2_pii
 from termframe.llm.quality import op7_quality
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_bm25_search": op10_bm25_search,
 }
-ORACLE_SQL = {"op1_line_dedup": LINE_SQL, "op10_bm25_search": SEARCH_SQL}
+ORACLE_SQL = {"op1_line_dedup": LINE_SQL, "op6_minhash_dedup": NEAR_SQL, "op10_bm25_search": SEARCH_SQL}
