@@ -1,16 +1,16 @@
 """Exact removal of repeated byte strings by the maximal repeats of an enhanced suffix array.
 
 A byte is removed if a string of LENGTH (400) bytes that covers it also starts anywhere else, in any
-document. Matches don't cross documents; strings are judged on the input. Shorter repeats, from LEAST (240) bytes,
+document. Matches don't cross documents; strings are judged on the input. Shorter repeats, from LEAST (264) bytes,
 come from the same tree and are reported, not removed.
 
 Not all suffixes are sorted, only those at anchors: a position is an anchor if the hash of its GRAM bytes is
 the least of some window of LEAST - GRAM + 1 positions. Every string of LEAST bytes holds an anchor with its
 gram, and equal strings hold the same one, so each pair of equal strings is found at an anchor; there is one
-for some 80 bytes of text.
+for some 70 bytes of text.
 
 1. Documents give their anchors: the gram's hash g, and the hash c of the context, the bytes of all strings
-   of up to LENGTH that can hold the anchor (160 before, 400 after, as far as the document goes).
+   of up to LENGTH that can hold the anchor (180 before, 400 after, as far as the document goes).
 2. (g, c) is counted, with map-side partial sums. A context that stands twice is wholly repeated: copies, however
    many, are one row from here on. A gram with one context needs nothing more.
 3. The other contexts (one representative each) are sorted by gram and by the text after the anchor: the suffix
@@ -48,9 +48,11 @@ from pyspark.sql import functions as F
 
 from termframe.llm.common import as_long, mix, pieces, read, table, text_bytes
 
-LENGTH, LEAST, GRAM = 400, 240, 80
+LENGTH, LEAST, GRAM = 400, 264, 84
 WINDOW = LEAST - GRAM + 1
 PASSAGE_WORDS = 50
+#: Stretches in which each pair is looked at, instead of the tree: small arrays cost more than pairs.
+PAIRED = 6
 #: Kinds of spans, as bits: of a string of LENGTH bytes that stands elsewhere; of one of LEAST bytes that stands in another document.
 REPEATED, SHARED = 1, 2
 #: Contexts of a gram that are sorted in one task: about 20 MB of text.
@@ -245,21 +247,26 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _spans(_stretch(held))
 
 
-def _repeats(before: list[bytes], after: list[bytes], owners: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """(L, R, fresh, shared) of a stretch's maximal repeats; most have two members only."""
-    if len(after) > 2:
-        for left, right, _, fresh, shared in Stretch(before, after).maximal_repeats(LEAST, owners):
+def _repeats(before: list[bytes], after: list[bytes], owners: list[int]) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(L, R, fresh, shared) of a stretch's maximal repeats; of a small stretch, of each of its pairs."""
+    if len(after) > PAIRED:
+        for left, right, _, fresh, shared in Stretch(before, after).maximal_repeats(LEAST, np.array(owners)):
             yield left, right, fresh, shared
-    elif len(after) == 2:
-        left, right = agree(*before), agree(*after)
-        if left + right >= LEAST:
-            yield left, right, [0, 1], [0, 1] if owners[0] != owners[1] else []
+        return
+    prefixes = [agree(*x) for x in zip(after, after[1:])]
+    for i, own in enumerate(before):
+        right = LENGTH
+        for j in range(i + 1, len(before)):
+            right = min(right, prefixes[j - 1])
+            left = agree(own, before[j])
+            if left + right >= LEAST:
+                yield left, right, [i, j], [i, j] if owners[i] != owners[j] else []
 
 
 def _stretch(rows: list[tuple]) -> list[tuple]:
     rows = sorted(rows, key=lambda r: r[7][r[6] :])  # the suffix array of this gram's anchors
     numbers: dict[tuple, int] = {}  # of documents; a context of several documents counts as one of its own
-    owners = np.array([numbers.setdefault(r[3:5] if not r[2] else (None, i), len(numbers)) for i, r in enumerate(rows)])
+    owners = [numbers.setdefault(r[3:5] if not r[2] else (None, i), len(numbers)) for i, r in enumerate(rows)]
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for left, right, fresh, shared in _repeats([r[7][: r[6]][::-1] for r in rows], [r[7][r[6] :] for r in rows], owners):
         # a context that stands twice is covered as a whole already

@@ -236,26 +236,27 @@ def expected_strings(rows):
 
 
 def expected_passages(rows):
-    """Per row, the runs of strings of 240 bytes that another document also holds, if of 50 whole words or more."""
+    """Per row, the runs of strings of 264 bytes that another document also holds, if of 50 whole words or more."""
     documents = {(i, t or ""): (t or "").encode() for i, t in rows}
     holders = defaultdict(set)
     for d, b in documents.items():
-        for i in range(len(b) - 239):
-            holders[b[i : i + 240]].add(d)
+        for i in range(len(b) - 263):
+            holders[b[i : i + 264]].add(d)
     out = {}
     for d, b in documents.items():
         inside = np.zeros(len(b) + 2, int)
-        for i in range(len(b) - 239):
-            if len(holders[b[i : i + 240]]) > 1:
-                inside[i + 1 : i + 241] = 1
+        for i in range(len(b) - 263):
+            if len(holders[b[i : i + 264]]) > 1:
+                inside[i + 1 : i + 265] = 1
         edges = np.flatnonzero(np.diff(inside))
         out[d] = sum(len([m for m in re.finditer(rb"\S+", b) if low <= m.start() and m.end() <= high]) >= 50 for low, high in edges.reshape(-1, 2).tolist())
     return [out[i, t or ""] for i, t in rows]
 
 
-@pytest.mark.parametrize("stretch", [32_768, 3])
-def test_repeated_strings(spark, monkeypatch, stretch):
+@pytest.mark.parametrize("stretch, paired", [(32_768, 6), (32_768, 1), (3, 6)])
+def test_repeated_strings(spark, monkeypatch, stretch, paired):
     monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    monkeypatch.setattr(suffix_dedup, "PAIRED", paired)
     rows = string_rows()
     expected = expected_strings(rows)
     found = [tuple(r) for r in suffix_dedup.repeat_digests(frame(spark, rows)).collect()]
