@@ -343,6 +343,41 @@ def test_search(spark, monkeypatch, shard):
     assert bm25.search(bm25.build_index(docs.limit(0)), docs.limit(0).withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
+def test_search_leaves_no_small_shards(spark, monkeypatch):
+    """Each query meets every shard, so the few documents over a full shard go into it."""
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 24)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        docs = spark.range(0, 60, 1, 2).selectExpr("id AS doc_id", "concat('all ', id) AS text")
+        assert [r["n_docs"] for r in bm25.build_index(docs).select("n_docs").collect()] == [30, 30]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+@pytest.mark.parametrize("share", [0, 0.5, 0.97, 1, 1.2])
+def test_search_of_a_shard_by_bounds(share):
+    """Common terms are looked at as bounds, blocks are passed over; the best that reach the score are all found."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 90))) for _ in range(3000)]
+    texts += texts[:40] * 2
+    rows, terms, counts, lengths = bm25.term_counts(pa.array(texts))
+    batch = bm25._shard(0, [np.arange(len(texts))], [lengths], [rows], [terms], [counts])
+    shard = bm25.Shard({c: batch.column(c)[0].as_buffer() for c in bm25._BLOBS}, float(lengths.mean()))
+    assert shard.dense.itemsize == 1 and len(shard.dense) > 10
+    queries = [terms[rows == i] for i in range(0, 3000, 100)]
+    weights = [counts[rows == i] * np.random.default_rng(i).uniform(0.1, 9, (rows == i).sum()) for i in range(0, 3000, 100)]
+    every = []
+    for q, w in zip(queries, weights):
+        shard.weight[np.searchsorted(shard.terms, q)] = w
+        score = shard.full(np.arange(len(texts)))
+        shard.weight[:] = 0
+        every.append(sorted((-s, shard.ids[d]) for d, s in enumerate(score) if s > 0)[:10])
+    least = np.array([-e[-1][0] * share for e in every])
+    for e, low, (docs, score) in zip(every, least, shard.top(queries, weights, least, 10)):
+        assert [x for x in zip(-score, shard.ids[docs]) if -x[0] >= low] == [x for x in e if -x[0] >= low]
+
+
 @needs_data
 def test_pipeline_stages(spark):
     """Each stage on its own input, as the stages before left it."""
