@@ -343,16 +343,12 @@ def test_search(spark, monkeypatch, shard):
     assert bm25.search(bm25.build_index(docs.limit(0)), docs.limit(0).withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
-def test_search_leaves_no_small_shards(spark, monkeypatch):
+def test_search_leaves_no_small_shards(monkeypatch):
     """Each query meets every shard, so the few documents over a full shard go into it."""
     monkeypatch.setattr(bm25, "SHARD_DOCS", 24)
-    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
-    try:
-        docs = spark.range(0, 60, 1, 2).selectExpr("id AS doc_id", "concat('all ', id) AS text")
-        assert [r["n_docs"] for r in bm25.build_index(docs).select("n_docs").collect()] == [30, 30]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    monkeypatch.setattr(bm25.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(i, i + 5)), "text": [f"all {j}" for j in range(5)]}) for i in range(0, 30, 5)]
+    assert [b.column("n_docs")[0].as_py() for b in bm25._index(iter(batches))] == [30]
 
 
 @pytest.mark.parametrize("share", [0, 0.5, 0.97, 1, 1.2])
