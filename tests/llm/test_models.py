@@ -374,6 +374,27 @@ def test_search_of_a_shard_by_bounds(share):
         assert [x for x in zip(-score, shard.ids[docs]) if -x[0] >= low] == [x for x in e if -x[0] >= low]
 
 
+def test_queries_of_a_batch_are_added_up_together(monkeypatch):
+    """One step for all queries of a batch, whatever they share with the shard, gives what each alone gives."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{'abcd'[i % 4]}{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 60))) for i in range(1500)]
+    rows, terms, counts, lengths = bm25.term_counts(pa.array(texts))
+    batch = bm25._shard(0, [np.arange(len(texts))], [lengths], [rows], [terms], [counts])
+    shard = bm25.Shard({c: batch.column(c)[0].as_buffer() for c in bm25._BLOBS}, float(lengths.mean()))
+    places = list(range(0, 1500, 50))
+    queries = [terms[rows == i] for i in places] + [np.array([3, 5], np.uint64), np.zeros(0, np.uint64), terms[-1:]]
+    weights = [counts[rows == i] * 1.5 for i in places] + [np.ones(2), np.zeros(0), np.ones(1)]
+    least = np.array([i % 3 * 4.0 for i in range(len(places))] + [0.0] * 3)
+    alone = [shard.top([q], [w], least[i : i + 1], 10)[0] for i, (q, w) in enumerate(zip(queries, weights))]
+    steps, candidates = [], bm25.Shard._candidates
+    monkeypatch.setattr(bm25.Shard, "_candidates", lambda self, *a: steps.append(1) or candidates(self, *a))
+    together = shard.top(queries, weights, least, 10)
+    assert len(steps) == 1
+    assert [len(d) for d, _ in together[-3:]][:2] == [0, 0] and len(together[-1][0])
+    for (docs, score), (docs_alone, score_alone), low in zip(together, alone, least):
+        assert [x for x in zip(docs, score) if x[1] >= low] == [x for x in zip(docs_alone, score_alone) if x[1] >= low]
+
+
 @needs_data
 def test_pipeline_stages(spark):
     """Each stage on its own input, as the stages before left it."""
